@@ -7,10 +7,14 @@ stop as soon as no place can still fall. Equal sets are one class; classes with
 compared on their full sets, from the texts, and linked if 100 * common >= PERCENT * union. Groups are connected
 components: union-find inside partitions, then rounds of joins.
 
-Within a band's bucket, classes meet the least class first; classes still apart from it then meet the least class of
-another group, and after ROUNDS of that all pairs of different groups which the bucket still holds are compared, so no
-link is lost. Pairs whose set sizes rule out the similarity, or whose signatures agree in less than FLOOR of the places
-(over five standard deviations below it), are not compared.
+In each bucket all classes meet one, B: that with the most bucket mates, as the middle of a group has. Say x is not linked
+to B. A class y that is linked to x and shares no shingle outside B with it has |x & y| <= |x & B|, so it is smaller than
+B and has at most |x & B| (100 + PERCENT) / PERCENT - |x| shingles. Hence, where a bucket still holds different groups,
+classes with an equal shingle outside B form the next level's buckets, in which the same is done again (x's shingles may
+start behind as many as it has to share), and x meets the classes that are that small. In buckets of FEW classes or less all pairs meet at once. After LEVELS of that all pairs of
+different groups which a bucket still holds are compared. A group costs about its size, not its square, and no link is
+lost. Pairs whose set sizes rule out the similarity, or whose signatures
+agree in less than FLOOR of the places (over five standard deviations below it), are not compared.
 
 Rows without doc_id belong to no group and stay (component null). Rows of one doc_id are one document with the sets of
 all of them standing for it. Other columns are left out by `grouped` and kept by `first_of_groups`.
@@ -30,7 +34,7 @@ from .common import U64, chunks, dropped, gram_hash, key_filter, mix, prefix_has
 SHINGLE, PERCENT = 4, 80
 BANDS, DEPTH = 24, 4
 PLACES = BANDS * DEPTH
-FLOOR, ROUNDS = 0.58, 2
+FLOOR, LEVELS, FEW = 0.58, 2, 12
 _SALTS = np.random.default_rng(7).integers(1, 1 << 62, 2 * PLACES + 2).astype(U64) | U64(1)
 
 
@@ -122,29 +126,65 @@ def bands(classes: DataFrame) -> DataFrame:
     return classes.select("id", F.explode(cut).alias("bucket"))
 
 
-def compared(pairs: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; members has id and text."""
+def with_texts(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the texts of both; members has id and text."""
     first = members.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     second = members.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b")
+    return pairs.join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b")
+
+
+def both_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Batches of with_texts() and the two sets of each row; a text_a that stands on many rows is read once."""
+    for batch in chunks(batches, "text_b", 1 << 19):
+        lead, at = batch.column("a").to_pylist(), {}
+        for i, a in enumerate(lead):
+            at.setdefault(a, i)
+        e, b = sets(batch.column("text_a").take(pa.array(list(at.values()))), shingle)
+        memory = {a: e[b[i] : b[i + 1]] for i, a in enumerate(at)}
+        e, b = sets(batch.column("text_b"), shingle)
+        yield batch, [(memory[a], e[b[i] : b[i + 1]]) for i, a in enumerate(lead)]
+
+
+def compared(pairs: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text_b", 1 << 19):
-            whole = []
-            memory: dict[int, np.ndarray] = {}
-            lead, at = batch.column("a").to_pylist(), {}
-            for i, a in enumerate(lead):
-                at.setdefault(a, i)
-            e, b = sets(batch.column("text_a").take(pa.array(list(at.values()))), shingle)
-            memory = {a: e[b[i] : b[i + 1]] for i, a in enumerate(at)}
-            e, b = sets(batch.column("text_b"), shingle)
-            for i, a in enumerate(lead):
-                x, y = memory[a], e[b[i] : b[i + 1]]
+        for batch, rows in both_sets(batches, shingle):
+            linked = []
+            for x, y in rows:
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                whole.append(100 * common >= percent * (len(x) + len(y) - common) and common > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(whole))
+                linked.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(linked))
+
+    return with_texts(pairs, members).mapInArrow(run, "a long, b long")
+
 
-    return both.mapInArrow(run, "a long, b long")
+def outside(pairs: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(bucket, id, role) for each (a, b). Role 0: the shingles of b outside a, by which b may be linked to others of a's
+    bucket; with n of them, of which a link needs k in common, the n - k + 1 least hashes are enough. Role 1: the sizes
+    below a's with which a class inside a may be linked to b; role 2: b's own size, if it is below a's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, rows in both_sets(batches, shingle):
+            bucket, ids, role = [], [], []
+            for a, b, (x, y) in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), rows):
+                rest = np.setdiff1d(y, x, assume_unique=True)
+                n, common = len(y), len(y) - len(rest)
+                seed = mix(np.array([a], np.int64).view(U64))
+                least = -(-percent * n // 100)  # the smallest partner that n allows
+                needed = -(-percent * (n + least) // (100 + percent)) - common
+                rest = np.sort(rest)[: len(rest) - max(1, needed) + 1]
+                most = min(len(x) - 1, common * (100 + percent) // percent - n)
+                fits = np.arange(least, most + 1) if 100 * common < percent * (n + len(x) - common) else np.zeros(0, int)
+                own = np.array([n] if n < len(x) else [], int)
+                for keys, r in ((rest, 0), (mix(fits.astype(U64) + U64(1 << 40)), 1), (mix(own.astype(U64) + U64(1 << 40)), 2)):
+                    bucket.append(mix(keys ^ seed))
+                    ids += [b] * len(keys)
+                    role += [r] * len(keys)
+            whole = np.concatenate(bucket) if bucket else np.zeros(0, U64)
+            yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(ids, pa.int64()), pa.array(role, pa.int8())], ["bucket", "id", "role"])
+
+    return with_texts(pairs, members).mapInArrow(run, "bucket long, id long, role byte")
 
 
 def forest(links: DataFrame) -> DataFrame:
@@ -202,43 +242,43 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     by_set = known.groupBy("high", "low").agg(F.min("doc_id").cast("long").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     kinds = stored(by_set)
     classes = kinds.select("id", "n", "signature")
-    buckets = bands(classes)
-    shared_n = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("lead")).where("size > 1")
-    rows = stored(buckets.join(shared_n, "bucket").select("bucket", "id", "lead"))
+    rows = stored(led(bands(classes), classes))
     ids = rows.select("id").distinct()
     members = stored(key_filter(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text"), "id", ids).join(ids, "id", "left_semi"))
-    # rows of one doc_id: one of them stands for the class's set
-    sizes = classes.select("id", "n", "signature")
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
     again = known.groupBy("doc_id", "high", "low").count().groupBy("doc_id").agg(F.count("*").alias("kinds")).where("kinds > 1").select("doc_id")
-    tied = known.join(again, "doc_id", "left_semi").join(kinds.select("high", "low", "id"), ["high", "low"]).select(F.col("doc_id").cast("long").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
-    links = links.unionByName(tied)
-    tried = pairs = stored(likely(rows.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), sizes, percent))
-    linked = [stored(compared(pairs, members, shingle, percent).unionByName(links))]
-    groups = components(linked[0])
-    for step in range(ROUNDS + 1):
-        named = rows.join(groups, "id", "left").select("bucket", "id", F.coalesce("to", "id").alias("group"))
-        apart = named.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
-        left = stored(named.join(apart, "bucket"))
-        if step < ROUNDS:
-            # the least class of another group in the bucket meets all that are not of its group
-            other = left.where("group <> low").groupBy("bucket").agg(F.min(F.struct("id", "group")).alias("o")).select("bucket", F.col("o.id").alias("lead"), F.col("o.group").alias("lead_group"))
-            new = left.join(other, "bucket").where("group <> lead_group").select("id", "lead")
+    tied = known.join(again, "doc_id", "left_semi").join(kinds.select("high", "low", "id"), ["high", "low"])
+    links = tied.select(F.col("doc_id").cast("long").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
+    groups, tried = None, None
+    small = rows.select("id", "lead").where("false")
+    for level in range(LEVELS + 1):
+        if level < LEVELS:
+            new = rows.where("id <> lead").select("id", "lead").unionByName(small)
         else:
-            x = left.select("bucket", "id", "group")
-            y = x.select("bucket", F.col("id").alias("lead"), F.col("group").alias("lead_group"))
-            new = x.join(y, "bucket").where("group <> lead_group and id < lead").select("id", "lead")
-        new = new.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        pairs = stored(likely(new, sizes, percent))
-        if not pairs.limit(1).count():
-            if step < ROUNDS:
-                continue
-            break
-        tried = tried.unionByName(pairs)
-        found = stored(compared(pairs, members, shingle, percent))
-        if found.limit(1).count():
-            linked.append(found)
+            new = crossed(grouped_rows(rows.select("bucket", "id"), groups)).unionByName(small)
+        new = new.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
+        pairs = stored(likely(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), classes, percent))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = compared(pairs, members, shingle, percent)
+        if groups is None:
+            groups = components(found.unionByName(links))
+        elif pairs.limit(1).count():
             groups = components(groups.select(F.col("id").alias("a"), F.col("to").alias("b")).unionByName(found))
+        if level == LEVELS:
+            break
+        # Buckets that hold different groups besides the least set.
+        named = grouped_rows(rows.where("id <> lead"), groups)
+        apart = named.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("bucket")
+        active = named.join(apart, "bucket", "left_semi")
+        few = crossed(active.where(F.col("size") <= FEW).select("bucket", "id", "group"))
+        left = active.where(F.col("size") > FEW).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+        shared = stored(outside(left, members, shingle, percent))
+        fits = shared.where("role = 1").select("bucket", "id").join(shared.where("role = 2").select("bucket", F.col("id").alias("lead")), "bucket").where("id <> lead").select("id", "lead").distinct()
+        mixed = grouped_rows(shared.where("role = 0").select("bucket", "id").distinct(), groups)
+        apart = mixed.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("bucket")
+        rows = stored(led(mixed.join(apart, "bucket", "left_semi").select("bucket", "id"), classes))
+        small = stored(fits.unionByName(few).distinct())
+        if not rows.limit(1).count() and not small.limit(1).count():
+            break
     roots = kinds.select("high", "low", "id").join(groups, "id", "left").select("high", "low", F.coalesce("to", "id").alias("component"))
     out = marks.join(roots, ["high", "low"], "left")
     mine = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id").cast("long"))
@@ -246,6 +286,25 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def led(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(bucket, id, lead, size): buckets of two classes or more, with the one of them that has the most bucket mates."""
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    rows = buckets.join(sizes, "bucket")
+    mates = rows.groupBy("id").agg(F.sum("size").alias("mates"))
+    lead = rows.join(mates, "id").groupBy("bucket").agg(F.max(F.struct("mates", (-F.col("id")).alias("i"))).alias("most"))
+    return buckets.join(lead.select("bucket", (-F.col("most.i")).alias("lead")), "bucket").join(sizes, "bucket").select("bucket", "id", "lead", "size")
+
+
+def crossed(named: DataFrame) -> DataFrame:
+    """(id, lead): pairs of a bucket that are in different groups."""
+    other = named.select("bucket", F.col("id").alias("lead"), F.col("group").alias("lead_group"))
+    return named.join(other, "bucket").where("group <> lead_group and id < lead").select("id", "lead").distinct()
+
+
+def grouped_rows(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    return rows.join(groups, "id", "left").withColumn("group", F.coalesce("to", "id")).drop("to")
+
+
 def likely(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Pairs that set sizes and signatures leave open."""
     a = sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
