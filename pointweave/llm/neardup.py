@@ -35,6 +35,7 @@ SHINGLE, PERCENT = 4, 80
 BANDS, DEPTH = 24, 4
 PLACES = BANDS * DEPTH
 FLOOR, LEVELS, FEW = 0.58, 2, 12
+TASK_LINKS = 200_000
 _SALTS = np.random.default_rng(7).integers(1, 1 << 62, 2 * PLACES + 2).astype(U64) | U64(1)
 
 
@@ -217,9 +218,15 @@ def forest(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, to) for each id with a smaller one in its component: the least. Rounds of joins halve the distances."""
+    """(id, to) for each id with a smaller one in its component: the least. What the partitions leave of the links goes
+    on to as many tasks as hold TASK_LINKS each; if that is one, it has the components. Otherwise rounds of joins halve
+    the distances."""
     edges = stored(forest(links))
-    while True:
+    tasks = max(1, -(-edges.count() // TASK_LINKS))
+    merged = stored(forest(edges.coalesce(tasks)))
+    dropped(edges)
+    edges = merged
+    while tasks > 1:
         # Every id points at its least neighbour; each other neighbour is handed to that one.
         least = edges.groupBy("id").agg(F.min("to").alias("least"))
         handed = edges.join(least, "id").where("to <> least").select(F.col("to").alias("id"), F.col("least").alias("to"))
@@ -231,7 +238,8 @@ def components(links: DataFrame) -> DataFrame:
         dropped(edges)
         edges = new.select("id", "to")
         if not going:
-            return edges
+            break
+    return edges
 
 
 def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -242,7 +250,7 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     by_set = known.groupBy("high", "low").agg(F.min("doc_id").cast("long").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     kinds = stored(by_set)
     classes = kinds.select("id", "n", "signature")
-    rows = stored(led(bands(classes), classes))
+    rows = stored(led(bands(classes)))
     ids = rows.select("id").distinct()
     members = stored(key_filter(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text"), "id", ids).join(ids, "id", "left_semi"))
     again = known.groupBy("doc_id", "high", "low").count().groupBy("doc_id").agg(F.count("*").alias("kinds")).where("kinds > 1").select("doc_id")
@@ -275,7 +283,7 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
         fits = shared.where("role = 1").select("bucket", "id").join(shared.where("role = 2").select("bucket", F.col("id").alias("lead")), "bucket").where("id <> lead").select("id", "lead").distinct()
         mixed = grouped_rows(shared.where("role = 0").select("bucket", "id").distinct(), groups)
         apart = mixed.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("bucket")
-        rows = stored(led(mixed.join(apart, "bucket", "left_semi").select("bucket", "id"), classes))
+        rows = stored(led(mixed.join(apart, "bucket", "left_semi").select("bucket", "id")))
         small = stored(fits.unionByName(few).distinct())
         if not rows.limit(1).count() and not small.limit(1).count():
             break
@@ -286,13 +294,13 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def led(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+def led(buckets: DataFrame) -> DataFrame:
     """(bucket, id, lead, size): buckets of two classes or more, with the one of them that has the most bucket mates."""
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    rows = buckets.join(sizes, "bucket")
+    rows = stored(buckets.join(sizes, "bucket"))
     mates = rows.groupBy("id").agg(F.sum("size").alias("mates"))
     lead = rows.join(mates, "id").groupBy("bucket").agg(F.max(F.struct("mates", (-F.col("id")).alias("i"))).alias("most"))
-    return buckets.join(lead.select("bucket", (-F.col("most.i")).alias("lead")), "bucket").join(sizes, "bucket").select("bucket", "id", "lead", "size")
+    return rows.join(lead.select("bucket", (-F.col("most.i")).alias("lead")), "bucket").select("bucket", "id", "lead", "size")
 
 
 def crossed(named: DataFrame) -> DataFrame:
