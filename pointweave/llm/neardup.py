@@ -7,14 +7,16 @@ stop as soon as no place can still fall. Equal sets are one class; classes with
 compared on their full sets, from the texts, and linked if 100 * common >= PERCENT * union. Groups are connected
 components: union-find inside partitions, then rounds of joins.
 
-In each bucket all classes meet one, B: that with the most bucket mates, as the middle of a group has. Say x is not linked
-to B. A class y that is linked to x and shares no shingle outside B with it has |x & y| <= |x & B|, so it is smaller than
-B and has at most |x & B| (100 + PERCENT) / PERCENT - |x| shingles. Hence, where a bucket still holds different groups,
-classes with an equal shingle outside B form the next level's buckets, in which the same is done again (x's shingles may
-start behind as many as it has to share), and x meets the classes that are that small. In buckets of FEW classes or less all pairs meet at once. After LEVELS of that all pairs of
-different groups which a bucket still holds are compared. A group costs about its size, not its square, and no link is
-lost. Pairs whose set sizes rule out the similarity, or whose signatures
-agree in less than FLOOR of the places (over five standard deviations below it), are not compared.
+Where the buckets have AT_ONCE bucket mates or less for each of their rows, all their pairs of different groups are
+compared. Otherwise, in each bucket, all classes meet one, B: that with the most bucket mates, as the middle of a group
+has. Say x is not linked to B. A class y that is linked to x and shares no shingle outside B with it has
+|x & y| <= |x & B|, so it is smaller than B and has at most |x & B| (100 + PERCENT) / PERCENT - |x| shingles: x meets the
+classes that are that small. Any other has to share with x a number of shingles outside B that x's size gives; so, where a
+bucket still holds different groups, classes with an equal shingle among their rarest such ones (as many as one of them
+must be in common) form the next level's buckets, in which the same is done again. In buckets of FEW classes or less all
+pairs meet at once. After LEVELS of that all pairs of different groups which a bucket still holds are compared. A group
+costs about its size, not its square, and no link is lost. Pairs whose set sizes rule out the similarity, or whose
+signatures agree in less than FLOOR of the places (over five standard deviations below it), are not compared.
 
 Rows without doc_id belong to no group and stay (component null). Rows of one doc_id are one document with the sets of
 all of them standing for it. Other columns are left out by `grouped` and kept by `first_of_groups`.
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, chunks, dropped, gram_hash, key_filter, mix, prefix_hash, run_hash, stored, texts, word_table
@@ -34,7 +36,7 @@ from .common import U64, chunks, dropped, gram_hash, key_filter, mix, prefix_has
 SHINGLE, PERCENT = 4, 80
 BANDS, DEPTH = 24, 4
 PLACES = BANDS * DEPTH
-FLOOR, LEVELS, FEW = 0.58, 2, 12
+FLOOR, LEVELS, FEW, AT_ONCE = 0.58, 2, 12, 24
 TASK_LINKS = 200_000
 _SALTS = np.random.default_rng(7).integers(1, 1 << 62, 2 * PLACES + 2).astype(U64) | U64(1)
 
@@ -161,31 +163,39 @@ def compared(pairs: DataFrame, members: DataFrame, shingle: int, percent: int) -
 
 
 def outside(pairs: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(bucket, id, role) for each (a, b). Role 0: the shingles of b outside a, by which b may be linked to others of a's
-    bucket; with n of them, of which a link needs k in common, the n - k + 1 least hashes are enough. Role 1: the sizes
-    below a's with which a class inside a may be linked to b; role 2: b's own size, if it is below a's."""
+    """(bucket, lead, id, needed, role) for each (a, b). Role 0: the shingles of b outside a, by which b may be linked to
+    others of a's bucket, of which a link has `needed` in common. Role 1: the sizes below a's with which a class inside a
+    may be linked to b; role 2: b's own size, if it is below a's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, rows in both_sets(batches, shingle):
-            bucket, ids, role = [], [], []
+            parts: list[tuple] = []
             for a, b, (x, y) in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), rows):
                 rest = np.setdiff1d(y, x, assume_unique=True)
                 n, common = len(y), len(y) - len(rest)
                 seed = mix(np.array([a], np.int64).view(U64))
                 least = -(-percent * n // 100)  # the smallest partner that n allows
-                needed = -(-percent * (n + least) // (100 + percent)) - common
-                rest = np.sort(rest)[: len(rest) - max(1, needed) + 1]
+                needed = max(1, -(-percent * (n + least) // (100 + percent)) - common)
                 most = min(len(x) - 1, common * (100 + percent) // percent - n)
                 fits = np.arange(least, most + 1) if 100 * common < percent * (n + len(x) - common) else np.zeros(0, int)
                 own = np.array([n] if n < len(x) else [], int)
                 for keys, r in ((rest, 0), (mix(fits.astype(U64) + U64(1 << 40)), 1), (mix(own.astype(U64) + U64(1 << 40)), 2)):
-                    bucket.append(mix(keys ^ seed))
-                    ids += [b] * len(keys)
-                    role += [r] * len(keys)
-            whole = np.concatenate(bucket) if bucket else np.zeros(0, U64)
-            yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array(ids, pa.int64()), pa.array(role, pa.int8())], ["bucket", "id", "role"])
+                    parts.append((mix(keys ^ seed), a, b, needed, r))
+            long = [len(p[0]) for p in parts]
+            column = lambda i, t: pa.array(np.repeat(np.array([p[i] for p in parts], np.int64), long).astype(t))
+            whole = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, U64)
+            yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), column(1, np.int64), column(2, np.int64), column(3, np.int32), column(4, np.int8)], ["bucket", "lead", "id", "needed", "role"])
 
-    return with_texts(pairs, members).mapInArrow(run, "bucket long, id long, role byte")
+    return with_texts(pairs, members).mapInArrow(run, "bucket long, lead long, id long, needed int, role byte")
+
+
+def rarest(shared: DataFrame) -> DataFrame:
+    """(bucket, id): of the m shingles outside its lead that a class shares with others there, the m - needed + 1 rarest;
+    two classes that have `needed` in common have one of these in common. The windows are as long as one text's set."""
+    often = shared.groupBy("bucket").agg(F.count("*").alias("often")).where("often > 1")
+    own = Window.partitionBy("lead", "id")
+    ranked = shared.join(often, "bucket").select("bucket", "id", "needed", F.row_number().over(own.orderBy("often", "bucket")).alias("rank"), F.count("*").over(own).alias("m"))
+    return ranked.where("rank <= m - needed + 1").select("bucket", "id").distinct()
 
 
 def forest(links: DataFrame) -> DataFrame:
@@ -250,28 +260,29 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     by_set = known.groupBy("high", "low").agg(F.min("doc_id").cast("long").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     kinds = stored(by_set)
     classes = kinds.select("id", "n", "signature")
-    rows = stored(led(bands(classes)))
+    rows = stored(sized(bands(classes)))
     ids = rows.select("id").distinct()
     members = stored(key_filter(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text"), "id", ids).join(ids, "id", "left_semi"))
     again = known.groupBy("doc_id", "high", "low").count().groupBy("doc_id").agg(F.count("*").alias("kinds")).where("kinds > 1").select("doc_id")
     tied = known.join(again, "doc_id", "left_semi").join(kinds.select("high", "low", "id"), ["high", "low"])
     links = tied.select(F.col("doc_id").cast("long").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
     groups, tried = None, None
-    small = rows.select("id", "lead").where("false")
+    small = rows.select("id", F.col("id").alias("lead")).where("false")
     for level in range(LEVELS + 1):
-        if level < LEVELS:
-            new = rows.where("id <> lead").select("id", "lead").unionByName(small)
-        else:
+        many, meets = rows.agg(F.count("*"), F.sum("size")).first()
+        last = level == LEVELS or (meets or 0) <= AT_ONCE * many
+        if last:
             new = crossed(grouped_rows(rows.select("bucket", "id"), groups)).unionByName(small)
+        else:
+            rows = stored(led(rows))
+            new = rows.where("id <> lead").select("id", "lead").unionByName(small)
         new = new.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
         pairs = stored(likely(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), classes, percent))
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = compared(pairs, members, shingle, percent)
-        if groups is None:
-            groups = components(found.unionByName(links))
-        elif pairs.limit(1).count():
-            groups = components(groups.select(F.col("id").alias("a"), F.col("to").alias("b")).unionByName(found))
-        if level == LEVELS:
+        known_links = links if groups is None else groups.select(F.col("id").alias("a"), F.col("to").alias("b"))
+        groups = components(known_links.unionByName(found))
+        if last:
             break
         # Buckets that hold different groups besides the least set.
         named = grouped_rows(rows.where("id <> lead"), groups)
@@ -281,12 +292,8 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
         left = active.where(F.col("size") > FEW).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
         shared = stored(outside(left, members, shingle, percent))
         fits = shared.where("role = 1").select("bucket", "id").join(shared.where("role = 2").select("bucket", F.col("id").alias("lead")), "bucket").where("id <> lead").select("id", "lead").distinct()
-        mixed = grouped_rows(shared.where("role = 0").select("bucket", "id").distinct(), groups)
-        apart = mixed.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("bucket")
-        rows = stored(led(mixed.join(apart, "bucket", "left_semi").select("bucket", "id")))
         small = stored(fits.unionByName(few).distinct())
-        if not rows.limit(1).count() and not small.limit(1).count():
-            break
+        rows = stored(sized(rarest(shared.where("role = 0").select("bucket", "lead", "id", "needed"))))
     roots = kinds.select("high", "low", "id").join(groups, "id", "left").select("high", "low", F.coalesce("to", "id").alias("component"))
     out = marks.join(roots, ["high", "low"], "left")
     mine = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id").cast("long"))
@@ -294,10 +301,13 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def led(buckets: DataFrame) -> DataFrame:
-    """(bucket, id, lead, size): buckets of two classes or more, with the one of them that has the most bucket mates."""
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    rows = stored(buckets.join(sizes, "bucket"))
+def sized(buckets: DataFrame) -> DataFrame:
+    """(bucket, id, size): the buckets of two classes or more."""
+    return buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket").select("bucket", "id", "size")
+
+
+def led(rows: DataFrame) -> DataFrame:
+    """sized() rows with the lead of each bucket: its class that has the most bucket mates."""
     mates = rows.groupBy("id").agg(F.sum("size").alias("mates"))
     lead = rows.join(mates, "id").groupBy("bucket").agg(F.max(F.struct("mates", (-F.col("id")).alias("i"))).alias("most"))
     return rows.join(lead.select("bucket", (-F.col("most.i")).alias("lead")), "bucket").select("bucket", "id", "lead", "size")
@@ -309,7 +319,10 @@ def crossed(named: DataFrame) -> DataFrame:
     return named.join(other, "bucket").where("group <> lead_group and id < lead").select("id", "lead").distinct()
 
 
-def grouped_rows(rows: DataFrame, groups: DataFrame) -> DataFrame:
+def grouped_rows(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """rows with the group of each id, at first the id itself."""
+    if groups is None:
+        return rows.withColumn("group", F.col("id"))
     return rows.join(groups, "id", "left").withColumn("group", F.coalesce("to", "id")).drop("to")
 
 
