@@ -285,7 +285,7 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
         if last:
             break
         # Buckets that hold different groups besides the least set.
-        named = grouped_rows(rows.where("id <> lead"), groups)
+        named = stored(grouped_rows(rows.where("id <> lead"), groups))
         apart = named.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("bucket")
         active = named.join(apart, "bucket", "left_semi")
         few = crossed(active.where(F.col("size") <= FEW).select("bucket", "id", "group"))
