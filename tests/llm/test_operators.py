@@ -1,5 +1,6 @@
 """Each operator against a brute-force version on a small table with nulls, empty texts, repeats and clashing columns."""
 
+import random
 from hashlib import sha256
 
 import pytest
@@ -67,6 +68,45 @@ def test_near_dedup(docs):
     assert got[5][1:] == (0, False) and got[10][1:] == (0, False) and got[1] == (0, 1, True) and got[8] == (1, 8, True)
 
 
+def near_copies(n=140):
+    """Copies of one text and of a text between its copies, of which many are just under the similarity."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(90)]
+    second = base[:70] + [f"v{i}" for i in range(20)]
+    out = []
+    for i in range(n):
+        words = list(second if i % 3 == 0 else base)
+        for at in rng.sample(range(90), rng.choice([0, 1, 2, 2, 3, 3])):
+            words[at] = f"x{rng.randrange(40)}"
+        out.append((i * 7, " ".join(words)))
+    return out
+
+
+def components_by_hand(texts):
+    sets = {i: {tuple(w[k : k + 4]) for k in range(len(w) - 3)} for i, w in ((i, t.split()) for i, t in texts)}
+    root = {i: i for i in sets}
+    for _ in sets:
+        before = dict(root)
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            return root
+    return root
+
+
+@pytest.mark.parametrize("at_once, few, task_links", [(24, 12, 200_000), (0, 2, 20)])
+def test_near_dedup_of_a_large_group(spark, monkeypatch, at_once, few, task_links):
+    for name, value in (("AT_ONCE", at_once), ("FEW", few), ("TASK_LINKS", task_links)):
+        monkeypatch.setattr(neardup, name, value)
+    texts = near_copies()
+    want = components_by_hand(texts)
+    got = rows(neardup.grouped(spark.createDataFrame(texts, "doc_id long, text string")), "component_id")
+    assert len(set(want.values())) > 1
+    assert {i: c for i, (c,) in got.items()} == want
+
+
 def test_brown(docs):
     got = rows(brown.scored(docs), "n_tokens", "base_score", "score")
     assert got[1][0] == got[2][0] == got[3][0] == 1 and all(g[1] < 0 and g[2] < 0 for g in got.values())
