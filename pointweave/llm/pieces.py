@@ -41,8 +41,10 @@ class Pieces:
         self.end = lib.eos_id()
         #: words are independent if the mark stands only at the front of a piece
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
-        self.young: dict[str, tuple[str, str]] = {}
-        self.old: dict[str, tuple[str, str]] = {}
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        #: words that do not decode to themselves
+        self.odd: dict[str, str] = {}
 
     def merge(self, text: str) -> list[str]:
         """The agenda over one run of characters."""
@@ -100,41 +102,41 @@ class Pieces:
                 out.append(self.pieces[i].replace(MARK, " "))
         return "".join(out)
 
-    def learn(self, runs: set[str]) -> None:
-        """Encode runs that are new here, against the library, and remember them."""
-        runs = list(runs)
-        for run, expected in zip(runs, self.library.encode([r[1:] for r in runs])):
-            ids = self.encode_run(run)
-            if len(run) > 1 and ids != expected:
-                raise ValueError(f"the agenda gives {ids} for {run!r}, the library {expected}")
-            self.young[run] = (" ".join(map(str, ids)), self.decode_run(ids))
+    def learn(self, words: set[str]) -> dict[str, str]:
+        """Ids of words that are new here, against the library. Those that decode to another text are noted in `odd`."""
+        words = list(words)
+        found = {}
+        for word, expected in zip(words, self.library.encode(words)):
+            ids = self.encode_run(MARK + word.replace(" ", MARK))
+            if word and len(word) <= LONGEST and not word.isspace() and ids != expected:
+                raise ValueError(f"the agenda gives {ids} for {word!r}, the library {expected}")
+            found[word] = " ".join(map(str, ids))
+            if (decoded := self.decode_run(ids)) != " " + word:
+                self.odd[word] = decoded
+        return found
 
     def encode_batch(self, batch: list[str]) -> list[tuple[str, str]]:
         """Ids joined by a space, without an end id, and the decoded text of each."""
-        split = [self.runs(t) for t in batch]
-        fresh: set[str] = set()
-        for runs in split:
-            fresh.update(runs)
+        split = [self.words(t) for t in batch]
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {}
-        long = {r for r in fresh if len(r) > LONGEST or not r.startswith(MARK)}
+            self.odd = {w: d for w, d in self.odd.items() if w in self.old}
         known, young = self.old, self.young
-        new = set()
-        for r in fresh - long:
-            if r not in young:
-                if r in known:
-                    young[r] = known[r]
-                else:
-                    new.add(r)
-        self.learn(new)
-        once = {}
-        for r in long:
-            ids = self.encode_run(r)
-            once[r] = (" ".join(map(str, ids)), self.decode_run(ids))
-        out = []
-        for text, runs in zip(batch, split):
-            found = [young[r] if r in young else once[r] for r in runs] if long else [young[r] for r in runs]
-            out.append((" ".join([f[0] for f in found]), "".join([f[1] for f in found])[1:]))
+        new = set().union(*split).difference(young)
+        again = {w for w in new if w in known}
+        young.update((w, known[w]) for w in again)
+        fresh = self.learn(new - again)
+        long = {w: i for w, i in fresh.items() if len(w) > LONGEST}
+        young.update(fresh)
+        odd, out = self.odd, []
+        for text, words in zip(batch, split):
+            decoded = text
+            if odd and not odd.keys().isdisjoint(words):
+                decoded = "".join([odd[w] if w in odd else " " + w for w in words])[1:]
+            out.append((" ".join([young[w] for w in words]), decoded))
+        for w in long:
+            del young[w]
+            odd.pop(w, None)
         if batch:
             shortest = min((t for t in batch if t), key=len, default="")
             expected = self.library.encode(shortest)
@@ -143,15 +145,15 @@ class Pieces:
                 raise ValueError(f"the agenda differs from the library on {shortest[:200]!r}")
         return out
 
-    def runs(self, text: str) -> list[str]:
+    def words(self, text: str) -> list[str]:
+        """What stands behind each first space, further spaces in front included; the text itself has one in front."""
         if not text:
             return []
-        marked = MARK + text.replace(" ", MARK)
         if not self.by_word:
-            return [marked]
-        if MARK + MARK in marked:
-            return re.findall(f"{MARK}+[^{MARK}]*", marked)
-        return [MARK + w for w in marked[1:].split(MARK)]
+            return [text]
+        if "  " in text or text[0] == " ":
+            return [w[1:] for w in re.findall(" +[^ ]*", " " + text)]
+        return text.split(" ")
 
 
 _LOADED: dict[str, Pieces] = {}
