@@ -34,6 +34,16 @@ def test_pieces(docs):
         assert got[i] == (len(ids), sha256(" ".join(map(str, ids)).encode()).hexdigest(), sha256(lib.decode(ids).encode()).hexdigest())
 
 
+def test_pieces_of_odd_texts(monkeypatch):
+    """Marks, runs of spaces and long words, with a memory of a few words that is renewed all the time."""
+    monkeypatch.setattr(pieces, "REMEMBERED", 3)
+    p = pieces.Pieces(piece_model())
+    odd = ["", " ", "  ", " a", "a ", "a  b", "   a   b  ", "a▁b", "▁", "▁▁a b", "é" * 60 + " x", "x" * 500, "\t \n x", "日本語 テ", "\x00 a", "ﬁ ①", "a▁b c a▁b"]
+    for batch in [*([t] for t in odd), odd, odd[::-1], ["one two three four", *odd, "one a▁b"]]:
+        expected = [p.library.encode(t) for t in batch]
+        assert p.encode_batch(batch) == [(" ".join(map(str, e)), p.library.decode(e)) for e in expected]
+
+
 def repeats(units, length, key):
     seen, out = set(), {}
     for i, t in TEXTS:
