@@ -57,8 +57,8 @@ def measured(text: str) -> tuple[list[int], str]:
     if not n:
         return counts, "-" * len(RULES)
     distinct = len(set(words))
-    plain = text.split(None, 400)[:400]
-    capital = sum(w.isupper() and len(w) > 1 for w in plain) / len(plain) if plain else 0
+    plain = words if joined.isascii() else b"\n".join(words).decode().split("\n")
+    capital = sum(w.isupper() and len(w) > 1 for w in plain) / n
     marked = sum(1 for w in words if w[-1] in _DROP_SYMBOLS or w[0] in _DROP_SYMBOLS) if symbols else 0
     ended = sum(x.rstrip()[-1:] in (b".", b"!", b"?", b":", b'"') for x in lines) / len(lines)
     digits = len(re.findall(rb"[0-9]", joined)) / len(joined)

@@ -141,6 +141,13 @@ def test_quality(docs):
     assert got[1][:4] == (0, 0, 0, True) and got[6] == (200, 0, 200, True, False) and got[11][1] == 240
 
 
+def test_quality_capitals_of_the_whole_text():
+    vote = lambda t: quality.measured(t)[1][quality.RULES.index("capitals")]
+    clean, loud = "plain words of prose. ", "SHOUTED WORDS ÀÉ NOISE. "
+    assert vote(clean * 100 + loud * 200) == "0" and vote(loud * 100 + clean * 1000) == "1"
+    assert vote("AB\u2003cd " * 50) == "1" and vote("É a b c " * 50) == "1"
+
+
 def test_toxicity(docs, spark):
     labels = spark.createDataFrame([(0, 1, 0), (6, 0, 1)], "doc_id long, quality int, toxic int")
     assert all(0 <= r["score"] <= 1 for r in toxicity.scored(docs, labels).collect())
