@@ -1,11 +1,11 @@
 """Personal data and information-theoretic sanitisation (operator 10).
 
 Four kinds are found by pattern: email, ip, card and phone. Their values are the protected entities. Terms in the
-neighbourhood of an entity disclose it as far as the corpus links them: with N texts, n(t) of them holding term t, n(e)
-neighbourhoods of entity e and n(t, e) of those holding t, the disclosure is PMI(t; e) / IC(e) =
-log(n(t, e) N / (n(t) n(e))) / log(N / n(e)). A term that stands near the entity in at least SUPPORT different
-neighbourhoods and discloses at least THRESHOLD of its information becomes a span of kind `term` wherever it stands near
-that entity. Equal neighbourhoods count once, so copies of a text lend no support. `sanitised` puts a mark for each span.
+neighbourhood of an entity, the WINDOW whole words on each side, disclose it as far as the corpus links them: with N
+texts, n(t) of them holding term t, n(e) holding entity e and n(t, e) holding t near e, the disclosure is PMI(t; e) / IC(e)
+= log(n(t, e) N / (n(t) n(e))) / log(N / n(e)). A term that stands near the entity in at least SUPPORT texts and discloses
+at least THRESHOLD of its information becomes a span of kind `term` wherever it stands near that entity. All four numbers
+count texts, each copy as one. `sanitised` puts a mark for each span.
 
 Counts cover all texts. Null and empty texts have no spans. Repeated rows get the same spans. Columns of the input with
 an output's name are replaced.
@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import chunks, session, stored
 
 KINDS = ["email", "ip", "card", "phone"]
-#: Words on each side of an entity, least number of different neighbourhoods, and least share of its information.
+#: Words on each side of an entity, least number of texts, and least share of its information.
 WINDOW, SUPPORT, THRESHOLD = 6, 2, 0.8
 BUCKETS = 1 << 20
 HELD = 300_000
@@ -88,28 +88,38 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 
 def neighbours(text: str, spans: dict[str, list[tuple[int, int]]]) -> list[tuple[str, list[tuple[str, int, int]]]]:
-    """For each entity, its value (kind and text) and the terms near it with their places, none inside a base span."""
+    """For each entity, its value (kind and text) and the terms near it with their places, none inside a base span. All
+    places of an entity in the text are one entry."""
     found = sorted((s, e, k) for k in KINDS for s, e in spans[k])
-    out = []
+    whole = [m.span() for m in _WORD.finditer(text)]
+    starts, ends = [a for a, _ in whole], [b for _, b in whole]
+    taken: list[list[int]] = []  # the union of the spans
+    for s, e, _ in found:
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    out: dict[str, dict[tuple[str, int, int], None]] = {}
     for s, e, kind in found:
-        terms: list[tuple[str, int, int]] = []
-        reach = 40 * WINDOW
-        left = [m.span() for m in _WORD.finditer(text, max(0, s - reach), s)][-WINDOW:]
-        right = [m.span() for m in _WORD.finditer(text, e, min(len(text), e + reach))][:WINDOW]
+        terms = out.setdefault(f"{kind}:{text[s:e].lower()}", {})
+        i, j = bisect_left(starts, s), bisect_right(ends, e)
+        left = [(a, min(b, s)) for a, b in whole[max(0, i - WINDOW) : i]]
+        right = [(max(a, e), b) for a, b in whole[j : j + WINDOW]]
         for a, b in [*left, *right]:
             for m in _TERM.finditer(text, a, b):
-                if not any(x < m.end() and m.start() < y for x, y, _ in found):
-                    terms.append((m[0].lower(), m.start(), m.end()))
-        out.append((f"{kind}:{text[s:e].lower()}", terms))
-    return out
+                at = bisect_left(taken, [m.end()]) - 1
+                if at < 0 or taken[at][1] <= m.start():
+                    terms[m[0].lower(), m.start(), m.end()] = None
+    return [(entity, list(terms)) for entity, terms in out.items()]
 
 
 def with_entities(docs: DataFrame) -> DataFrame:
-    """docs with `_base` (spans as text) and `_near` (entity, neighbourhood's hash, terms with places)."""
-    near = "array<struct<entity: string, place: long, terms: array<struct<term: string, start: long, stop: long>>>>"
+    """docs with `_base` (spans as text) and `_near` (entity, terms with places; `cut` where the text's own terms, as
+    texts_with counts them, are without it: an entity is in the middle of a word)."""
+    near = "array<struct<entity: string, terms: array<struct<term: string, start: long, stop: long, cut: boolean>>>>"
     added = T._parse_datatype_string(f"_base string, _near {near}").fields
     names = docs.columns
-    kind = pa.list_(pa.struct([("entity", pa.string()), ("place", pa.int64()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])))]))
+    kind = pa.list_(pa.struct([("entity", pa.string()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("cut", pa.bool_())])))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -120,9 +130,9 @@ def with_entities(docs: DataFrame) -> DataFrame:
                 base.append(",".join(f"{k}:{s}:{e}" for k in KINDS for s, e in spans[k]))
                 rows = []
                 if base[-1]:
+                    own = set(_TERM.findall(text.lower()))
                     for entity, terms in neighbours(text, spans):
-                        place = int.from_bytes(sha256("\0".join(t for t, _, _ in terms).encode()).digest()[:8], "big", signed=True)
-                        rows.append({"entity": entity, "place": place, "terms": [{"term": t, "start": s, "stop": e} for t, s, e in terms]})
+                        rows.append({"entity": entity, "terms": [{"term": t, "start": s, "stop": e, "cut": t not in own} for t, s, e in terms]})
                 near.append(rows)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base, pa.string()), pa.array(near, kind)], [*names, "_base", "_near"])
 
@@ -162,17 +172,16 @@ def texts_with(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 def disclosing(docs: DataFrame, near: DataFrame) -> DataFrame:
     """(entity, term, disclosure) above the threshold; near has a row for each entity in a text with its terms."""
-    once = near.select("entity", "place", F.array_distinct("terms.term").alias("terms")).dropDuplicates(["entity", "place"])
+    once = near.select("entity", F.array_distinct("terms.term").alias("terms"))
     entities = once.groupBy("entity").agg(F.count("*").alias("n_e"))
     links = once.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
     links = stored(links.join(entities, "entity"))
     texts = docs.count()
-    joined = links.join(texts_with(docs, links.select("term").distinct()), "term")
+    cut = near.select("_row", F.explode("terms").alias("t")).where("t.cut").select("_row", "t.term").distinct().groupBy("term").agg(F.count("*").alias("n"))
+    n_t = texts_with(docs, links.select("term").distinct()).unionByName(cut).groupBy("term").agg(F.sum("n").alias("n_t"))
     n = F.lit(float(max(texts, 1)))
-    # neighbourhoods may outnumber the texts that a term or an entity is in
-    seen = F.greatest("n", "n_te")
-    share = F.log2(F.col("n_te") * n / (seen * F.col("n_e"))) / F.log2(F.greatest(n / F.col("n_e"), F.lit(1.0000001)))
-    return joined.withColumn("disclosure", share).where(F.col("disclosure") >= THRESHOLD).select("entity", "term", "disclosure")
+    share = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / F.log2(F.greatest(n / F.col("n_e"), F.lit(1.0000001)))
+    return links.join(n_t, "term").withColumn("disclosure", share).where(F.col("disclosure") >= THRESHOLD).select("entity", "term", "disclosure")
 
 
 def found(docs: DataFrame, carry: list[str]) -> DataFrame:

@@ -1,6 +1,9 @@
 """Each operator against a brute-force version on a small table with nulls, empty texts, repeats and clashing columns."""
 
+import math
 import random
+import re
+from collections import Counter
 from hashlib import sha256
 
 import pytest
@@ -159,6 +162,43 @@ def test_privacy(docs):
     assert "[EMAIL]" in rows(privacy.sanitised(docs), "text")[7][0]
 
 
+def terms_by_hand(texts):
+    """Term spans of each text, from counts of texts alone."""
+    near, own = {}, {}
+    for i, t in texts:
+        base = [(s, e, k) for k, x in privacy.base_spans(t).items() for s, e in x]
+        near[i] = set()
+        for s, e, k in base:
+            before = [m.span() for m in re.finditer(r"[^ \t-\r]+", t[:s])][-6:]
+            after = [(a + e, b + e) for a, b in (m.span() for m in re.finditer(r"[^ \t-\r]+", t[e:]))][:6]
+            for a, b in before + after:
+                for m in re.finditer(r"\w[\w'-]*", t[a:b]):
+                    x, y = a + m.start(), a + m.end()
+                    if all(y <= p or q <= x for p, q, _ in base):
+                        near[i].add((k + t[s:e].lower(), m[0].lower(), x, y))
+        own[i] = set(re.findall(r"\w[\w'-]*", t.lower())) | {n[1] for n in near[i]}
+    n_te, n_e, n_t = Counter(), Counter(), Counter()
+    for i, _ in texts:
+        n_te.update({n[:2] for n in near[i]})
+        n_e.update({n[0] for n in near[i]})
+        n_t.update(own[i])
+    share = lambda e, t: math.log(n_te[e, t] * len(texts) / (n_t[t] * n_e[e])) / math.log(len(texts) / n_e[e])
+    return {i: sorted({(x, y) for e, t, x, y in near[i] if n_te[e, t] >= 2 and share(e, t) >= 0.8}) for i, _ in texts}
+
+
+def test_privacy_terms_with_copies(spark):
+    rng = random.Random(3)
+    word = lambda n: " ".join(f"w{rng.randrange(60)}" for _ in range(n))
+    hot = [f"{word(8)} Zoltan {'y' * 300} {word(3)} zo@lt.org {word(2)} Quirin {word(9)}" for _ in range(2)]
+    texts = hot * 20 + [word(5) + " mail jo@ex.org says Ottilie now, 10.0.0.1abc is " + word(1)] * 7 + [f"{word(6)} {'x@y.com' if i % 9 else 'Ottilie'} abc {word(6)}" for i in range(40)] + [word(20) for _ in range(400)]
+    texts = list(enumerate(texts))
+    want = terms_by_hand(texts)
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {i: [tuple(map(int, s.split(":")[1:])) for s in x.split(",") if s.startswith("term:")] for i, (x,) in rows(privacy.personal(df), "spans").items()}
+    assert {i: sorted(s) for i, s in got.items()} == want
+    assert "[TERM]" in rows(privacy.sanitised(df), "text")[0][0] and any(texts[0][1][a:b] == "Zoltan" for a, b in want[0])
+
+
 @pytest.mark.parametrize("run", [passages.deduplicated, suffixes.deduplicated, neardup.grouped, brown.scored, sharding.sharded, quality.rated, privacy.personal])
 def test_empty_table(docs, run):
     assert run(docs.where("false")).count() == 0
