@@ -5,8 +5,8 @@ a whole block are collapsed beforehand. There a suffix array is built by two-sta
 their successors are sorted directly, the others are induced by one scan over the buckets of first bytes; neighbours with
 a common prefix of LENGTH bytes or more are equal strings, of which all but the earliest are removed.
 
-Anchors with more than HOT different blocks are split into single strings, dealt by anchor and first bytes, as suffixes
-with different first bytes are never equal. Texts are UTF-8 bytes, null texts have none; matches never cross texts. See
+Anchors with more than HOT different blocks are split into single strings. Each task collapses its equal ones, of which
+only the earliest goes on, and deals them by the whole string: a group has no more strings than there are tasks. Texts are UTF-8 bytes, null texts have none; matches never cross texts. See
 common.identified for repeated rows and missing ids. Only doc_id and text are read; other columns are left out.
 """
 
@@ -17,6 +17,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,9 @@ from .common import U64, chunks, identified, key_filter, mix, prefix_hash, run_h
 LENGTH, GRAM = 100, 16
 #: Blocks of one anchor that one task takes, and bytes that are sorted at a time.
 HOT, SORTED = 2000, 1 << 20
+#: Single strings of hot anchors that a task collapses at a time.
+HELD = 200_000
+ROW = ["anchor", "key", "at", "n", "bytes"]
 
 
 def byte_grams(data: np.ndarray, gram: int) -> np.ndarray:
@@ -158,6 +162,20 @@ def repeated_strings(strings: list[bytes], key: np.ndarray, at: np.ndarray, coun
     return out
 
 
+def collapsed(single: dict[tuple[int, bytes], tuple[int, int]], later: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """The earliest of equal strings, dealt by anchor and string, and without bytes the runs of the others, dealt by key."""
+    if later:
+        key, at = np.array(sorted(later), np.int64).T
+        new = np.append(True, (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1))
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(key)))
+        yield pa.RecordBatch.from_arrays([pa.array(mix(key[first].astype(U64)).view(np.int64)), pa.array(key[first]), pa.array(at[first].astype(np.int32)), pa.array(n.astype(np.int32)), pa.nulls(len(first), pa.binary())], ROW)
+    if single:
+        anchor = [a ^ int.from_bytes(sha256(s).digest()[:7], "big") for a, s in single]
+        key, at = zip(*single.values())
+        yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(key, pa.int64()), pa.array(at, pa.int32()), pa.array(np.ones(len(at), np.int32)), pa.array([s for _, s in single], pa.binary())], ROW)
+
+
 def within(count: np.ndarray) -> np.ndarray:
     return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
 
@@ -171,26 +189,38 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     some = key_filter(docs.select("key", "text"), "key", mixed.select("key")).join(cuts, "key")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        single: dict[tuple[int, bytes], tuple[int, int]] = {}
+        later: list[tuple[int, int]] = []
         for batch in chunks(batches):
             anchor, key, at, n, out = [], [], [], [], []
             for k, text, cuts in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), batch.column("cuts").to_pylist()):
                 raw = text.encode()
                 for c in cuts:
-                    step = 1 if c["hot"] else c["n"]
-                    for a in range(c["at"], c["at"] + c["n"], step):
-                        s = raw[a : a + step + length - 1]
-                        prefix = int.from_bytes(sha256(s[:32]).digest()[:7], "big") if c["hot"] else 0
-                        anchor.append(c["anchor"] ^ prefix)
+                    if not c["hot"]:
+                        anchor.append(c["anchor"])
                         key.append(k)
-                        at.append(a)
-                        n.append(step)
-                        out.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(key, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(out, pa.binary())], ["anchor", "key", "at", "n", "bytes"])
+                        at.append(c["at"])
+                        n.append(c["n"])
+                        out.append(raw[c["at"] : c["at"] + c["n"] + length - 1])
+                        continue
+                    for a in range(c["at"], c["at"] + c["n"]):
+                        name, here = (c["anchor"], raw[a : a + length]), (k, a)
+                        first = single.setdefault(name, here)
+                        if first != here:
+                            single[name] = min(first, here)
+                            later.append(max(first, here))
+                if len(single) + len(later) > HELD:
+                    yield from collapsed(single, later)
+                    single, later = {}, []
+            yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(key, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(out, pa.binary())], ROW)
+        yield from collapsed(single, later)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for part in chunks([batch], "bytes", SORTED // 4):
+            known = pc.is_null(batch.column("bytes"))
+            yield batch.filter(known).select(["key", "at", "n"])
+            for part in chunks([batch.filter(pc.invert(known))], "bytes", SORTED // 4):
                 held.append(part)
                 size += part.column("bytes").nbytes
                 if size > SORTED:

@@ -71,6 +71,29 @@ def test_suffixes(docs, hot, monkeypatch):
     assert rows(suffixes.deduplicated(docs), "n_bytes", "n_removed") == repeats(lambda t: t.encode(), 100, bytes)
 
 
+@pytest.mark.parametrize("held", [50, 200_000])
+def test_suffixes_of_a_shared_passage(spark, monkeypatch, held):
+    """A passage in many contexts, split into single strings: right, and of equal ones only the earliest is dealt."""
+    monkeypatch.setattr(suffixes, "HOT", 5)
+    monkeypatch.setattr(suffixes, "HELD", held)
+    rng = random.Random(1)
+    noise = lambda: "".join(chr(97 + rng.randrange(26)) for _ in range(90))
+    texts = [(i * 3 % 101, noise() + PASSAGE[:180] + noise()) for i in range(101)]
+    seen, want = set(), {}
+    for i, t in sorted(texts):
+        gone = [False] * len(t)
+        for s in range(len(t) - 99):
+            if t[s : s + 100] in seen:
+                gone[s : s + 100] = [True] * 100
+            seen.add(t[s : s + 100])
+        want[i] = (len(t), sum(gone))
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    assert rows(suffixes.deduplicated(df), "n_bytes", "n_removed") == want
+    several = list(suffixes.collapsed({(5, b"x" * 100): (1, 2)}, [(7, 4), (7, 3), (9, 0)]))
+    assert several[0].select(["key", "at", "n"]).to_pylist() == [{"key": 7, "at": 3, "n": 2}, {"key": 9, "at": 0, "n": 1}] and several[0]["bytes"].null_count == 2
+    assert several[1].num_rows == 1
+
+
 def test_repeated_rows_and_missing_ids(spark):
     df = spark.createDataFrame([(None, PASSAGE), (1, PASSAGE), (1, PASSAGE)], "doc_id long, text string")
     assert sorted(r["n_removed"] for r in passages.deduplicated(df).collect()) == [0, 80, 80]
