@@ -2,19 +2,21 @@
 
 Training texts give the count of every word. The most frequent words (at most CLASS_WORDS) are put into classes by
 exchange clustering on their neighbour counts: a word moves to the class that raises the likelihood of the class bigrams
-most. All other words, known or not, have the class of their form (FORMS), so every text has classes without a look-up.
+most. Then every further word that stands at least LEAST times gets the class that is best by the same measure, from the
+classes next to it in all training texts. Words that are rarer or unknown have the class of their form (FORMS).
 log10 P(text) adds log10 P(class | class before) + log10 P(word | class) over the words and one end; the class before the
 first word is that of the end. Transitions fall back on class frequencies with weight BACKOFF; emissions add SMOOTH to
 each count and keep one share for unseen words, so the probabilities of a class sum to one.
 
-Counts cover all training texts. Words of a text that are not among the FREQUENT broadcast ones meet their counts in a
-join, one row for each text and word. Null and empty texts are one end token. Repeated rows are counted as often as they
+Counts cover all training texts. Words of a text that are not among the FREQUENT broadcast ones meet their counts and
+classes in a join, one row for each text and word. Null and empty texts are one end token. Repeated rows are counted as often as they
 stand. Texts without doc_id take part in training. Without training texts all counts are 0. Columns of the input with an
 output's name are replaced.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,11 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import session, stored
+from .common import chunks, session, stored
 
-#: Bounds: words with a class of their own making, word counts that are broadcast, classes, and rounds of exchange.
+#: Bounds: words that exchange classes, word counts that are broadcast, classes, and rounds of exchange.
 CLASS_WORDS, FREQUENT, CLASSES, ROUNDS = 1500, 1 << 18, 48, 6
 FORMS, SMOOTH, BACKOFF = 16, 0.5, 50.0
+TOTAL, END = CLASSES + FORMS + 1, bytes([CLASSES + FORMS])
+#: Least count of a word that its neighbours give a class; the mark of a word whose class is not known yet; sums of a text.
+LEAST, OPEN, SUMS = 2, 255, ["n_tokens", "n_known", "base", "emit", "seq"]
 #: A task passes its word counts on when it holds so many.
 HELD = 400_000
 
@@ -67,7 +72,7 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
+def most_frequent(counts: DataFrame, most: int, *more: str) -> list[tuple]:
     """The most frequent words: all with a count of at least the least one that leaves no more than `most`."""
     level = F.floor(F.log2("c") * 32).cast("int")  # at most 64 * 32 levels
     levels = sorted(((r["level"], r["count"]) for r in counts.groupBy(level.alias("level")).count().collect()), reverse=True)
@@ -79,7 +84,7 @@ def most_frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
     if least is None:
         return []
     rows = counts.where(level >= least).collect()
-    return sorted(((bytes(r["word"]), r["c"]) for r in rows), key=lambda x: (-x[1], x[0]))
+    return sorted(((bytes(r["word"]), r["c"], *(r[m] for m in more)) for r in rows), key=lambda x: (-x[1], x[0]))
 
 
 def neighbour_counts(train: DataFrame, ids: dict[bytes, int], size: int) -> np.ndarray:
@@ -178,98 +183,191 @@ def exchanged(grid: np.ndarray, movable: int, classes: int = CLASSES, rounds: in
     return own
 
 
+def neighbour_classes(train: DataFrame, ids: dict[bytes, int], own: np.ndarray) -> DataFrame:
+    """(word, found): for each word outside the clustered ones, how often (n) each class stands before it (code: the
+    class) and after it (TOTAL + the class), as n * 2 * TOTAL + code. Tasks count first; a code may stand several times."""
+    shared = session(train).sparkContext.broadcast((ids, own.tolist()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, own = shared.value
+        core, end = len(ids), len(ids)
+        memory, kinds, names, held, n = dict(ids), [*own[:core], CLASSES + FORMS], [], [], 0
+        for batch in chunks(batches):
+            seq = [end]
+            for text in batch.column("text").to_pylist():
+                words = tokens(text)
+                for w in set(words).difference(memory):
+                    memory[w] = len(kinds)
+                    kinds.append(CLASSES + form(w))
+                    names.append(w)
+                seq += [memory[w] for w in words]
+                seq.append(end)
+            at = np.array(seq, np.int64)
+            kind = np.array(kinds, np.int64)[at]
+            here = np.flatnonzero(at > end)
+            held.append(np.concatenate([at[here] * 2 * TOTAL + kind[here - 1], at[here] * 2 * TOTAL + TOTAL + kind[here + 1]]))
+            n += 2 * len(here)
+            if n > 10 * HELD or len(names) > HELD:
+                yield out(np.concatenate(held), names, end)
+                memory, kinds, names, held, n = dict(ids), [*own[:core], CLASSES + FORMS], [], [], 0
+        if held:
+            yield out(np.concatenate(held), names, end)
+
+    def out(keys: np.ndarray, names: list[bytes], end: int) -> pa.RecordBatch:
+        keys, n = np.unique(keys, return_counts=True)
+        word, code = keys // (2 * TOTAL), keys % (2 * TOTAL)
+        cuts = np.searchsorted(word, end + 1 + np.arange(len(names) + 1))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(n * 2 * TOTAL + code))], ["word", "part"])
+
+    parts = train.select("text").mapInArrow(run, "word binary, part array<long>")
+    return parts.groupBy("word").agg(F.flatten(F.collect_list("part")).alias("found"))
+
+
+def best_classes(words: list[bytes], found: pa.ListArray, between: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Count and class of each word: from a count of LEAST on, the class that raises the likelihood of the class bigrams
+    most (as in exchanged()), else that of its form."""
+    f = lambda x: x * np.log(np.maximum(x, 1e-300))
+    flat, sizes = found.flatten().to_numpy(), np.diff(found.offsets.to_numpy())
+    keys, back = np.unique(np.repeat(np.arange(len(words)), sizes) * 2 * TOTAL + flat % (2 * TOTAL), return_inverse=True)
+    n = np.bincount(back, flat // (2 * TOTAL))
+    word, code = keys // (2 * TOTAL), keys % (2 * TOTAL)
+    count = np.bincount(word, n * (code < TOTAL), len(words))
+    cells = np.concatenate([between[:, :classes], between[:classes].T])[code]
+    gain = np.add.reduceat(f(cells + n[:, None]) - f(cells), np.searchsorted(word, np.arange(len(words))))
+    for total in (between.sum(1)[:classes], between.sum(0)[:classes]):
+        gain -= f(total + count[:, None]) - f(total)
+    forms = np.array([CLASSES + form(w) for w in words])
+    return count.astype(np.int64), np.where(count >= LEAST, gain.argmax(1), forms)
+
+
+def lexicon(train: DataFrame, top: list[tuple[bytes, int]], own: np.ndarray, between: np.ndarray) -> DataFrame:
+    """(word, c, k): count and class of every training word."""
+    ids = {w: i for i, (w, _) in enumerate(top)}
+    core = session(train).createDataFrame([(w, c, int(own[i])) for i, (w, c) in enumerate(top)], "word binary, c long, k int")
+    if not top:
+        return core
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 2000):
+                batch = whole.slice(at, 2000)
+                c, k = best_classes(batch.column("word").to_pylist(), pa.array(batch.column("found").to_pylist(), pa.list_(pa.int64())), between, min(CLASSES, len(ids)))
+                yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(c), pa.array(k.astype(np.int32))], ["word", "c", "k"])
+
+    return stored(core.unionByName(neighbour_classes(train, ids, own).mapInArrow(run, "word binary, c long, k int")))
+
+
+def sequences(docs: DataFrame, words: DataFrame, kept: list[str]) -> DataFrame:
+    """kept columns, n_tokens, n_known, base (sum of log10(count + 1)), emit (of log10(count + SMOOTH)), and `seq`, a byte
+    for the class of each word. Words that are not among the broadcast ones meet their classes in a join."""
+    shared = session(docs).sparkContext.broadcast({w: (c, k) for w, c, k in most_frequent(words, FREQUENT, "k")})
+    here = docs.select(*(f"`{c}`" for c in kept), "text")
+    fields = [f for f in here.schema.fields if f.name != "text"]
+    sums = "n_tokens long, n_known long, base double, emit double, seq binary"
+
+    def known(c: int) -> tuple[float, float, int]:
+        return math.log10(c + 1), math.log10(c + SMOOTH), int(c > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, memory = shared.value, {}
+        for batch in chunks(batches):
+            rows = []
+            for text in batch.column("text").to_pylist():
+                words = tokens(text)
+                if len(memory) > 300_000:
+                    memory.clear()
+                for w in set(words).difference(memory):
+                    memory[w] = (common[w][1], *known(common[w][0])) if w in common else (OPEN, 0.0, 0.0, 0)
+                got = [memory[w] for w in words]
+                seq = bytes([g[0] for g in got])
+                rows.append((len(words), sum(g[3] for g in got), sum(g[1] for g in got), sum(g[2] for g in got), seq, [w for w, k in zip(words, seq) if k == OPEN] if OPEN in seq else []))
+            at = batch.schema.get_field_index("text")
+            rest = [c for i, c in enumerate(batch.columns) if i != at]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*rest, *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], [*kept, *SUMS, "_rare"])
+
+    first = stored(here.mapInArrow(run, T.StructType(fields + T._parse_datatype_string(sums + ", _rare array<binary>").fields)).withColumn("_row", F.monotonically_increasing_id()))
+    rare = first.select("_row", F.explode(F.array_distinct("_rare")).alias("word"))
+    got = rare.join(words, "word").groupBy("_row").agg(F.collect_list(F.struct("word", "c", "k")).alias("_got"))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for *sums, seq, rare, got in zip(*(batch.column(c).to_pylist() for c in (*SUMS, "_rare", "_got"))):
+                if rare:
+                    found = {g["word"]: (g["c"], g["k"]) for g in got or []}
+                    whole = [found.get(w) or (0, CLASSES + form(w)) for w in rare]
+                    more = [known(c) for c, _ in whole]
+                    seq = np.frombuffer(seq, np.uint8).copy()
+                    seq[seq == OPEN] = [k for _, k in whole]
+                    seq = seq.tobytes()
+                    sums = [sums[0], sums[1] + sum(m[2] for m in more), sums[2] + sum(m[0] for m in more), sums[3] + sum(m[1] for m in more)]
+                rows.append((*sums, seq))
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], [*kept, *SUMS])
+
+    return stored(first.join(got, "_row", "left").mapInArrow(fill, T.StructType(fields + T._parse_datatype_string(sums).fields)))
+
+
+def class_pairs(seqs: DataFrame) -> np.ndarray:
+    """How often each class follows each other one; the end stands before and after a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grid = np.zeros(TOTAL * TOTAL, np.int64)
+        for batch in batches:
+            seq = np.frombuffer(END + b"".join(s + END for s in batch.column("seq").to_pylist()), np.uint8).astype(np.int64)
+            grid += np.bincount(seq[:-1] * TOTAL + seq[1:], minlength=TOTAL * TOTAL)
+        seen = np.flatnonzero(grid)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(grid[seen])], ["cell", "n"])
+
+    grid = np.zeros(TOTAL * TOTAL)
+    for r in seqs.select("seq").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        grid[r["cell"]] = r["n"]
+    return grid.reshape(TOTAL, TOTAL)
+
+
 def scored(docs: DataFrame) -> DataFrame:
     """docs (without the text) with held_out, n_tokens, n_known, train_tokens, base_score and score."""
-    spark = session(docs)
     names = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    kept = [c for c in docs.columns if c not in (*names, "text")]
+    kept = [c for c in docs.columns if c not in (*names, *SUMS, "text")]
     train = docs.where(~held_out())
     counts = stored(word_counts(train))
     texts = train.count()  # as many ends
     totals = counts.agg(F.sum("c"), F.count("*")).first()
     n_all, n_kinds = (totals[0] or 0) + texts, totals[1] + (texts > 0)
-    top = most_frequent(counts, CLASS_WORDS)
+    top = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(CLASS_WORDS).collect()]
     ids = {w: i for i, (w, _) in enumerate(top)}
     size = len(ids) + FORMS + 1
     grid = neighbour_counts(train, ids, size)
     own = exchanged(grid, len(ids))
-    total = CLASSES + FORMS + 1
-    onto = np.zeros((size, total))
+    # exchanged() numbers the forms and the end behind the classes in use
+    own[len(ids) :] = CLASSES + np.arange(FORMS + 1)
+    onto = np.zeros((size, TOTAL))
     onto[np.arange(size), own] = 1
-    between, class_n = onto.T @ grid @ onto, onto.T @ grid.sum(0)
-    share = (class_n + 1) / (class_n.sum() + total)
+    words = lexicon(train, top, own, onto.T @ grid @ onto)
+    seqs = sequences(docs.withColumn("held_out", held_out()), words, [*kept, "held_out"])
+    between = class_pairs(seqs.where(~F.col("held_out")))
+    class_n = between.sum(0)
+    share = (class_n + 1) / (class_n.sum() + TOTAL)
     step = np.log10((between + BACKOFF * share) / (between.sum(1, keepdims=True) + BACKOFF))
-    # kinds of words by class: those of the forms are counted from the table of all words
-    in_forms = form_kinds(counts, set(ids))
-    kinds = np.zeros(total)
-    np.add.at(kinds, own[: len(ids)], 1)
-    kinds[CLASSES : CLASSES + FORMS] = in_forms
+    kinds = np.zeros(TOTAL)
+    for r in words.groupBy("k").count().collect():
+        kinds[r["k"]] = r["count"]
     mass = np.log10(class_n + SMOOTH * (kinds + 1))
-    broadcast_counts = dict(most_frequent(counts, FREQUENT))
-    shared = spark.sparkContext.broadcast((ids, own, step, mass, broadcast_counts))
-    end = CLASSES + FORMS
     below = float(np.log10(n_all + n_kinds + 1))
     end_base = float(np.log10(texts + 1) - below)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, own, step, mass, common = shared.value
-        own = own.tolist()
-        memory: dict[bytes, tuple] = {}
         for batch in batches:
-            n, known, base, score, rare = [], [], [], [], []
-            for text in batch.column("text").to_pylist():
-                words = tokens(text)
-                if len(memory) > 300_000:
-                    memory.clear()
-                for w in set(words).difference(memory):
-                    k = own[ids[w]] if w in ids else CLASSES + form(w)
-                    c = common.get(w)
-                    memory[w] = (k, 0.0, 0.0, 0) if c is None else (k, float(np.log10(c + 1)), float(np.log10(c + SMOOTH) - mass[k]), 1)
-                got = [memory[w] for w in words]
-                seq = np.array([end, *(g[0] for g in got), end])
-                n.append(len(words) + 1)
-                known.append(sum(g[3] for g in got) + (texts > 0))
-                base.append(sum(g[1] for g in got) - below * len(words) + end_base)
-                score.append(float(step[seq[:-1], seq[1:]].sum()) + sum(g[2] for g in got))
-                rare.append(list(Counter(w for w, g in zip(words, got) if not g[3]).items()))
-            flat = pa.StructArray.from_arrays([pa.array([w for r in rare for w, _ in r], pa.binary()), pa.array([t for r in rare for _, t in r], pa.int64())], ["word", "times"])
-            pairs = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), flat)
-            columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pairs]
-            at = batch.schema.get_field_index("text")
-            rest = [c for i, c in enumerate(batch.columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*rest, *columns], [*kept, "n_tokens", "n_known", "base_score", "score", "_rare"])
-
-    here = docs.select(*(f"`{c}`" for c in kept), "text")
-    added = "n_tokens long, n_known long, base_score double, score double, _rare array<struct<word: binary, times: long>>"
-    schema = T.StructType([f for f in here.schema.fields if f.name != "text"] + T._parse_datatype_string(added).fields)
-    first = stored(here.mapInArrow(run, schema).withColumn("_row", F.monotonically_increasing_id()))
-    # the end has no place among the words: its class holds nothing else
-    rare = first.select("_row", F.explode("_rare").alias("w")).select("_row", "w.word", "w.times")
-    rest = counts.join(rare, "word", "right").withColumn("c", F.coalesce("c", F.lit(0)))
-    masses = F.array(*(F.lit(float(m)) for m in mass[CLASSES : CLASSES + FORMS]))
-    emitted = F.log10(F.col("c") + F.lit(SMOOTH)) - F.element_at(masses, form_column("word") + 1)
-    parts = rest.groupBy("_row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("_known"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("_base"), F.sum(F.col("times") * emitted).alias("_score"))
-    out = first.drop("_rare").join(parts, "_row", "left")
-    add = lambda c, d: (F.col(c) + F.coalesce(F.col(d), F.lit(0))).alias(c)
-    return out.select(*(f"`{c}`" for c in kept), held_out().alias("held_out") if "doc_id" in kept else F.lit(False).alias("held_out"), "n_tokens", add("n_known", "_known"), F.lit(n_all).cast("long").alias("train_tokens"), add("base_score", "_base"), add("score", "_score"))
-
-
-def form_column(word: str) -> Column:
-    """form() of a binary column."""
-    hexed = F.hex(word)
-    last = F.substring(hexed, -2, 2)
-    n = F.octet_length(word)
-    wide = F.regexp_like(hexed, F.lit("^(..)*[89A-F]"))
-    letter = F.regexp_like(last, F.lit("^([46][1-9A-F]|[57][0-9A])$"))
-    ended = ~letter & (last < "80")
-    return F.when(wide, 8).otherwise(0) + F.when(ended, 4).otherwise(0) + F.when(n <= 4, 0).when(n <= 7, 1).when(n <= 11, 2).otherwise(3)
-
-
-def form_kinds(counts: DataFrame, clustered: set[bytes]) -> np.ndarray:
-    """How many different words each form has, without the clustered ones."""
-    kinds = np.zeros(FORMS)
-    for r in counts.groupBy(form_column("word").alias("form")).count().collect():
-        kinds[r["form"]] += r["count"]
-    for w in clustered:
-        kinds[form(w)] -= 1
-    return kinds
+            score = []
+            for seq, emit in zip(batch.column("seq").to_pylist(), batch.column("emit").to_pylist()):
+                seq = np.frombuffer(END + seq + END, np.uint8)
+                # the end has no place among the words: its class holds nothing else
+                score.append(float(step[seq[:-1], seq[1:]].sum() - mass[seq[1:-1]].sum()) + emit)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*kept, "held_out", *SUMS[:3]]), pa.array(score, pa.float64())], [*kept, "held_out", *SUMS[:3], "score"])
+
+    fields = [f for f in seqs.schema.fields if f.name not in SUMS[3:]]
+    out = seqs.mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
+    base = F.col("base") - F.lit(below) * F.col("n_tokens") + F.lit(end_base)
+    return out.select(*(f"`{c}`" for c in kept), "held_out", (F.col("n_tokens") + 1).alias("n_tokens"), (F.col("n_known") + F.lit(int(texts > 0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

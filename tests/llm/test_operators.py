@@ -148,6 +148,37 @@ def test_brown(docs):
     assert got[1][0] == got[2][0] == got[3][0] == 1 and all(g[1] < 0 and g[2] < 0 for g in got.values())
 
 
+def test_brown_classes_beyond_the_core(spark, monkeypatch):
+    """Words outside the exchanged ones get the class of their neighbours, broadcast or not; scores are those by hand."""
+    monkeypatch.setattr(brown, "CLASS_WORDS", 4)
+    texts = [(i, " ".join(f"{'the a'.split()[i % 2]} noun{(i * 3 + j) % 40} {'runs sits'.split()[j % 2]}" for j in range(6))) for i in range(60)]
+    df = spark.createDataFrame([*texts, (60, "the unseen runs noun1")], "doc_id long, text string")
+    got = rows(brown.scored(df), "n_known", "base_score", "score")
+    monkeypatch.setattr(brown, "FREQUENT", 0)
+    joined = rows(brown.scored(df), "n_known", "base_score", "score")
+    assert all(got[i] == pytest.approx(joined[i]) for i in got)
+    table = []
+    whole = brown.sequences
+    monkeypatch.setattr(brown, "sequences", lambda docs, words, kept: table.append(words) or whole(docs, words, kept))
+    brown.scored(df).count()
+    words = {bytes(r["word"]): (r["c"], r["k"]) for r in table[0].collect()}
+    assert {k < brown.CLASSES for w, (c, k) in words.items() if c >= 2} == {True} and len({k for w, (_, k) in words.items() if w.startswith(b"noun")}) <= 2
+    end, held = brown.TOTAL - 1, {r["doc_id"] for r in df.where(brown.held_out()).collect()}
+    kind = lambda w: words[w][1] if w in words else brown.CLASSES + brown.form(w)
+    seqs = {r["doc_id"]: [end, *map(kind, brown.tokens(r["text"])), end] for r in df.collect()}
+    pairs = Counter(p for i, q in seqs.items() if i not in held for p in zip(q, q[1:]))
+    first, second, kinds = Counter(), Counter(), Counter(k for _, k in words.values())
+    for (a, b), n in pairs.items():
+        first[a] += n
+        second[b] += n
+    share = lambda b: (second[b] + 1) / (sum(second.values()) + brown.TOTAL)
+    for r in df.collect():
+        q = seqs[r["doc_id"]]
+        want = sum(math.log10((pairs[a, b] + 50 * share(b)) / (first[a] + 50)) for a, b in zip(q, q[1:]))
+        want += sum(math.log10((words.get(w, (0,))[0] + 0.5) / (second[k] + 0.5 * (kinds[k] + 1))) for w, k in zip(brown.tokens(r["text"]), q[1:-1]))
+        assert got[r["doc_id"]][2] == pytest.approx(want)
+
+
 def test_leaks(docs, spark):
     bench = spark.createDataFrame([(7, PASSAGE.upper()), (8, None), (9, "nothing of this kind is anywhere here")], "item_id long, text string")
     assert sorted((r["doc_id"], r["item_id"]) for r in leaks.leaked(docs, bench).collect()) == [(0, 7), (4, 7), (5, 7), (10, 7)]
