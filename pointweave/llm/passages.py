@@ -1,7 +1,8 @@
-"""Substring dedup over words by seed and extend (operator 8).
+"""Substring dedup over words from winnowed seeds (operator 8).
 
-Texts are joined on winnowed anchors; blocks around equal anchors are compared as a whole, and where an anchor stands in
-different blocks the match is extended window by window to both sides until it breaks. Every word inside a run of WINDOW
+Blocks around equal anchors meet and are compared as a whole. Where an anchor stands in different blocks, every window of
+those is hashed and meets by its hash; this replaces extending a match to both sides, pair by pair, as the pairs of a
+passage's copies grow with their square and the windows with the text. Every word inside a run of WINDOW
 words that also starts earlier (smaller doc_id, or before in the same text) goes; the maximal repeats are unions of such
 runs. Null and empty texts have no words; texts shorter than a window lose nothing. See common.identified for repeated
 rows and missing ids. Only doc_id and text are read; other columns are left out.
