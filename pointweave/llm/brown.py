@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, session, stored
+from .common import by_bytes, chunks, session, stored
 
 #: Bounds: words that exchange classes, word counts that are broadcast, classes, and rounds of exchange.
 CLASS_WORDS, FREQUENT, CLASSES, ROUNDS = 1500, 1 << 18, 48, 6
@@ -331,7 +331,7 @@ def scored(docs: DataFrame) -> DataFrame:
     """docs (without the text) with held_out, n_tokens, n_known, train_tokens, base_score and score."""
     names = ["held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kept = [c for c in docs.columns if c not in (*names, *SUMS, "text")]
-    train = docs.where(~held_out())
+    train = by_bytes(docs).where(~held_out())
     counts = stored(word_counts(train))
     texts = train.count()  # as many ends
     totals = counts.agg(F.sum("c"), F.count("*")).first()

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 U64 = np.uint64
+BATCH = "4m"
+_OWN: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +28,15 @@ def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
+def by_bytes(docs: DataFrame) -> DataFrame:
+    """docs. Texts are long, so the session hands rows to Python in Arrow batches of BATCH bytes, unless it has a limit of
+    its own."""
+    conf, name = session(docs).conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, "64MB") in ("67108864b", "64MB"):
+        conf.set(name, BATCH)
+    return docs
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACES, -1), lambda w: w != "")
 
@@ -35,11 +46,13 @@ def lower_ascii(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share. A session of one machine that names none gets one of its own, which lasts as
+    long as the session's process; any other has to name it."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
     if not where:
-        where = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = _OWN[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="spark-")
     return where.rstrip("/")
 
 
@@ -62,7 +75,7 @@ def dropped(df: DataFrame) -> None:
 def identified(docs: DataFrame, text: str = "text") -> DataFrame:
     """(key, doc_id, text): key is doc_id where that is unique and never null. Otherwise rows are numbered in the
     order of doc_id (nulls first), then text, so that repeated rows count as later documents. Other columns go."""
-    rows = docs.select("doc_id", F.col(text).alias("text"))
+    rows = by_bytes(docs).select("doc_id", F.col(text).alias("text"))
     odd = rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
     if not odd:
         return rows.select(F.col("doc_id").cast("long").alias("key"), "doc_id", "text")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, session, stored
+from .common import by_bytes, chunks, session, stored
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Words on each side of an entity, least number of texts, and least share of its information.
@@ -118,7 +118,7 @@ def with_entities(docs: DataFrame) -> DataFrame:
     texts_with counts them, are without it: an entity is in the middle of a word)."""
     near = "array<struct<entity: string, terms: array<struct<term: string, start: long, stop: long, cut: boolean>>>>"
     added = T._parse_datatype_string(f"_base string, _near {near}").fields
-    names = docs.columns
+    names = by_bytes(docs).columns
     kind = pa.list_(pa.struct([("entity", pa.string()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("cut", pa.bool_())])))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, session
+from .common import by_bytes, chunks, session
 
 #: Bounds of the training sample, the number of hashed features, and of classifiers whose scores are averaged.
 POSITIVE, UNLABELLED, BITS, MODELS = 4000, 8000, 18, 3
@@ -119,7 +119,7 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFr
     models = [train(sure, other, prior, seed) for seed in range(MODELS)]
     shared = session(docs).sparkContext.broadcast(np.stack(models))
     kept = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
-    here = docs.select(*(f"`{c}`" for c in kept))
+    here = by_bytes(docs).select(*(f"`{c}`" for c in kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = shared.value
