@@ -33,7 +33,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the texts, and the checksum of what they decode to."""
-    return pieces.encode_documents(docs.select("doc_id", "lang", "source", "text"), piece_model(), ids=True).drop("text")
+    return pieces.encode_documents(docs.select("doc_id", "lang", "source", "text"), piece_model(), ids=True, text=False)
 
 
 STAGES = [

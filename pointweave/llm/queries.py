@@ -18,7 +18,7 @@ def piece_model() -> str:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model()).drop("text")
+    return pieces.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model(), text=False)
 
 
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
