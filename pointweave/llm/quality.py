@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, session, stored
+from .common import by_bytes, chunks, session, stored
 
 SYMBOLS = "#*$%&|<>"
 _SYMBOL = re.compile(rb"[#*$%&|<>]")
@@ -78,7 +78,7 @@ def measured(text: str) -> tuple[list[int], str]:
         vote(dup / len(lines), 0.3, 0.1) if len(lines) >= 4 else "-",
         vote(repeats / n, 0.3, 0.1) if n >= 20 else "-",
         vote(capital, 0.4, 0.1),
-        vote(distinct / min(n, 400) if n <= 400 else min(1.0, distinct / n**0.85 * 400**0.85 / 400), 0.35, 0.5) if n >= 30 else "-",
+        vote(distinct / n**0.85, 0.86, 1.23) if n >= 30 else "-",  # distinct words grow slower than the text
         vote(ended, 0.4, 0.8),
         vote(digits, 0.15, 0.03),
     ]
@@ -89,7 +89,7 @@ def voted(docs: DataFrame) -> DataFrame:
     """docs with the base counts and `votes`, a character for each of RULES."""
     added = [*(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("votes", T.StringType())]
     kept = [c for c in docs.columns if c not in {f.name for f in added}]
-    here = docs.select(*(f"`{c}`" for c in kept))
+    here = by_bytes(docs).select(*(f"`{c}`" for c in kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -147,6 +147,6 @@ def rated(docs: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their own columns. Texts are read twice rather than stored."""
-    rows = voted(docs)
-    return judged(rows, fitted(pattern_counts(voted(docs.select("text"))))).where("kept").select(*(f"`{c}`" for c in docs.columns))
+    """The documents that stay, with their own columns. Documents and votes are kept as a table between fit and use."""
+    rows = stored(voted(docs))
+    return judged(rows, fitted(pattern_counts(rows))).where("kept").select(*(f"`{c}`" for c in docs.columns))
