@@ -7,16 +7,17 @@ stop as soon as no place can still fall. Equal sets are one class; classes with
 compared on their full sets, from the texts, and linked if 100 * common >= PERCENT * union. Groups are connected
 components: union-find inside partitions, then rounds of joins.
 
-Where the buckets have AT_ONCE bucket mates or less for each of their rows, all their pairs of different groups are
-compared. Otherwise, in each bucket, all classes meet one, B: that with the most bucket mates, as the middle of a group
-has. Say x is not linked to B. A class y that is linked to x and shares no shingle outside B with it has
-|x & y| <= |x & B|, so it is smaller than B and has at most |x & B| (100 + PERCENT) / PERCENT - |x| shingles: x meets the
-classes that are that small. Any other has to share with x a number of shingles outside B that x's size gives; so, where a
-bucket still holds different groups, classes with an equal shingle among their rarest such ones (as many as one of them
-must be in common) form the next level's buckets, in which the same is done again. In buckets of FEW classes or less all
-pairs meet at once. After LEVELS of that all pairs of different groups which a bucket still holds are compared. A group
-costs about its size, not its square, and no link is lost. Pairs whose set sizes rule out the similarity, or whose
-signatures agree in less than FLOOR of the places (over five standard deviations below it), are not compared.
+In buckets of AT_ONCE classes or less all pairs of different groups meet. In each larger bucket all classes meet one, B:
+that with the most bucket mates, as the middle of a group has. Say x is not linked to B. A class y that is linked to x and
+shares no shingle outside B with it has |x & y| <= |x & B|, so it is smaller than B and has at most
+|x & B| (100 + PERCENT) / PERCENT - |x| shingles: x meets the classes that are that small. Any other has to share with x a
+number of shingles outside B that x's size gives; so, where a bucket still holds different groups, classes with an equal
+shingle among their rarest such ones (as many as one of them must be in common) form the next level's buckets, in which
+the same is done again. Buckets of a level share a shingle that those of the last did not have to, so levels come to an
+end: at the latest when no bucket is large, but as soon as the large ones have MOST classes or less and no more than REST
+bucket mates for each class of the corpus, all pairs of these meet. A group costs about its size, not its square, and no link is lost. Pairs whose set sizes
+rule out the similarity, or whose signatures agree in less than FLOOR of the places (over five standard deviations below
+it), are not compared.
 
 Rows without doc_id belong to no group and stay (component null). Rows of one doc_id are one document with the sets of
 all of them standing for it. Other columns are left out by `grouped` and kept by `first_of_groups`.
@@ -31,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, dropped, gram_hash, key_filter, mix, prefix_hash, run_hash, stored, texts, word_table
+from .common import U64, by_bytes, chunks, dropped, gram_hash, key_filter, mix, prefix_hash, run_hash, stored, texts, word_table
 
 SHINGLE, PERCENT = 4, 80
 BANDS, DEPTH = 24, 4
 PLACES = BANDS * DEPTH
-FLOOR, LEVELS, FEW, AT_ONCE = 0.58, 2, 12, 24
+FLOOR, AT_ONCE, MOST, REST = 0.58, 64, 2000, 4
 TASK_LINKS = 200_000
 _SALTS = np.random.default_rng(7).integers(1, 1 << 62, 2 * PLACES + 2).astype(U64) | U64(1)
 
@@ -254,7 +255,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row."""
-    marks = stored(signed(docs, shingle))
+    marks = stored(signed(by_bytes(docs), shingle))
     known = marks.where("n_shingles > 0 and doc_id is not null")
     # One class for each set; a doc_id that stands on several rows links their sets.
     by_set = known.groupBy("high", "low").agg(F.min("doc_id").cast("long").alias("id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
@@ -267,32 +268,31 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     tied = known.join(again, "doc_id", "left_semi").join(kinds.select("high", "low", "id"), ["high", "low"])
     links = tied.select(F.col("doc_id").cast("long").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
     groups, tried = None, None
-    small = rows.select("id", F.col("id").alias("lead")).where("false")
-    for level in range(LEVELS + 1):
-        many, meets = rows.agg(F.count("*"), F.sum("size")).first()
-        last = level == LEVELS or (meets or 0) <= AT_ONCE * many
-        if last:
-            new = crossed(grouped_rows(rows.select("bucket", "id"), groups)).unionByName(small)
-        else:
-            rows = stored(led(rows))
-            new = rows.where("id <> lead").select("id", "lead").unionByName(small)
+    waiting = rows.select("id", F.col("id").alias("lead")).where("false")
+    while True:
+        large = rows.where(F.col("size") > AT_ONCE)
+        meets, most = large.agg(F.sum("size"), F.max("size")).first()
+        last = (most or 0) <= MOST and (meets or 0) <= REST * kinds.count()
+        small = rows if last else rows.where(F.col("size") <= AT_ONCE)
+        new = crossed(grouped_rows(small.select("bucket", "id"), groups)).unionByName(waiting)
+        if not last:
+            large = stored(led(large))
+            new = new.unionByName(large.where("id <> lead").select("id", "lead"))
         new = new.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
         pairs = stored(likely(new if tried is None else new.join(tried, ["a", "b"], "left_anti"), classes, percent))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        found = compared(pairs, members, shingle, percent)
+        found = stored(compared(pairs, members, shingle, percent))
         known_links = links if groups is None else groups.select(F.col("id").alias("a"), F.col("to").alias("b"))
         groups = components(known_links.unionByName(found))
         if last:
             break
         # Buckets that hold different groups besides the least set.
-        named = stored(grouped_rows(rows.where("id <> lead"), groups))
-        apart = named.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("bucket")
-        active = named.join(apart, "bucket", "left_semi")
-        few = crossed(active.where(F.col("size") <= FEW).select("bucket", "id", "group"))
-        left = active.where(F.col("size") > FEW).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+        named = stored(grouped_rows(large.where("id <> lead"), groups))
+        apart = stored(named.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("bucket"))
+        left = named.join(apart, "bucket", "left_semi").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
         shared = stored(outside(left, members, shingle, percent))
-        fits = shared.where("role = 1").select("bucket", "id").join(shared.where("role = 2").select("bucket", F.col("id").alias("lead")), "bucket").where("id <> lead").select("id", "lead").distinct()
-        small = stored(fits.unionByName(few).distinct())
+        fits = shared.where("role = 1").select("bucket", "id").join(shared.where("role = 2").select("bucket", F.col("id").alias("lead")), "bucket")
+        waiting = stored(fits.where("id <> lead").select("id", "lead").distinct())
         rows = stored(sized(rarest(shared.where("role = 0").select("bucket", "lead", "id", "needed"))))
     roots = kinds.select("high", "low", "id").join(groups, "id", "left").select("high", "low", F.coalesce("to", "id").alias("component"))
     out = marks.join(roots, ["high", "low"], "left")
@@ -302,15 +302,17 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
 
 
 def sized(buckets: DataFrame) -> DataFrame:
-    """(bucket, id, size): the buckets of two classes or more."""
-    return buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket").select("bucket", "id", "size")
+    """(bucket, id, size): the buckets of two classes or more. Sizes are a table of their own, so that the join can split
+    a hot bucket; so are the leads of led()."""
+    sizes = stored(buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
+    return buckets.join(sizes, "bucket").select("bucket", "id", "size")
 
 
 def led(rows: DataFrame) -> DataFrame:
     """sized() rows with the lead of each bucket: its class that has the most bucket mates."""
     mates = rows.groupBy("id").agg(F.sum("size").alias("mates"))
     lead = rows.join(mates, "id").groupBy("bucket").agg(F.max(F.struct("mates", (-F.col("id")).alias("i"))).alias("most"))
-    return rows.join(lead.select("bucket", (-F.col("most.i")).alias("lead")), "bucket").select("bucket", "id", "lead", "size")
+    return rows.join(stored(lead.select("bucket", (-F.col("most.i")).alias("lead"))), "bucket").select("bucket", "id", "lead", "size")
 
 
 def crossed(named: DataFrame) -> DataFrame:
