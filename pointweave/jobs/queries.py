@@ -48,6 +48,11 @@ def r(c, digits: int = 6):
     return F.round(c, digits)
 
 
+def share(c, low, high):
+    """The place of c between low and high as a share; 0 where these are one."""
+    return F.when(F.col(high) > F.col(low), (F.col(c) - F.col(low)) / (F.col(high) - F.col(low))).otherwise(0.0)
+
+
 def box(points: DataFrame) -> DataFrame:
     return points.agg(F.min(F.least("x", "y", "z")).alias("low"), F.max(F.greatest("x", "y", "z")).alias("high"))
 
@@ -56,7 +61,7 @@ def box(points: DataFrame) -> DataFrame:
 def normalize_points(spark, d):
     rows = cloud(spark, d)
     scaled = rows.crossJoin(F.broadcast(box(rows)))  # one row
-    return scaled.select("pid", *(r((F.col(c) - F.col("low")) / (F.col("high") - F.col("low")), 9).alias(c) for c in "xyz"))
+    return scaled.select("pid", *(r(share(c, "low", "high"), 9).alias(c) for c in "xyz"))
 
 
 @query(sql("SELECT pid, round((x - low) / (high - low) * (high - low) + low, 9) AS x, round((y - low) / (high - low) * (high - low) + low, 9) AS y, round((z - low) / (high - low) * (high - low) + low, 9) AS z FROM cloud, box"))
@@ -64,14 +69,14 @@ def denormalize_points(spark, d):
     rows = cloud(spark, d)
     scaled = rows.crossJoin(F.broadcast(box(rows)))  # one row
     width = F.col("high") - F.col("low")
-    return scaled.select("pid", *(r((F.col(c) - F.col("low")) / width * width + F.col("low"), 9).alias(c) for c in "xyz"))
+    return scaled.select("pid", *(r(share(c, "low", "high") * width + F.col("low"), 9).alias(c) for c in "xyz"))
 
 
 def voxels(spark, d, size: int = 32) -> DataFrame:
     rows = voxel_source(spark, d)
     low = rows.agg(F.min(F.least("x", "y", "z")).alias("low"), F.max(F.greatest("x", "y", "z")).alias("high"))
     rows = rows.crossJoin(F.broadcast(low))  # one row
-    return rows.select("value", *(F.rint((F.col(c) - F.col("low")) / (F.col("high") - F.col("low")) * (size - 1)).cast("long").alias(c) for c in "xyz"))
+    return rows.select("value", *(F.rint(share(c, "low", "high") * (size - 1)).cast("long").alias(c) for c in "xyz"))
 
 
 _VOXELS = "low AS (SELECT min(least(x, y, z)) AS low, max(greatest(x, y, z)) AS high FROM vox), v AS (SELECT value, " + ", ".join(f"round_even(({c} - low) / (high - low) * 31, 0)::BIGINT AS {c}" for c in "xyz") + " FROM vox, low)"
@@ -141,14 +146,14 @@ def paired(spark, d) -> DataFrame:
 def metrics(prefix: str = ""):
     out = []
     for n in "yuv":
-        mse = r(F.avg(F.col(f"d{n}") * F.col(f"d{n}")), 9)
-        out += [mse.alias(f"{prefix}{n}_mse"), r(F.avg(F.abs(f"d{n}")), 9).alias(f"{prefix}{n}_mae"), r(color.psnr(mse), 6).alias(f"{prefix}{n}_psnr")]
+        mse = F.avg(F.col(f"d{n}") * F.col(f"d{n}"))
+        out += [r(mse, 9).alias(f"{prefix}{n}_mse"), r(F.avg(F.abs(f"d{n}")), 9).alias(f"{prefix}{n}_mae"), r(color.psnr(mse), 6).alias(f"{prefix}{n}_psnr")]
     return out
 
 
 def metrics_sql(prefix: str = "") -> str:
-    mse = lambda n: f"round(avg(d{n} * d{n}), 9)"
-    return ", ".join(f"{mse(n)} AS {prefix}{n}_mse, round(avg(abs(d{n})), 9) AS {prefix}{n}_mae, round(CASE WHEN {mse(n)} = 0 THEN 'inf'::DOUBLE ELSE -10 * log10({mse(n)}) END, 6) AS {prefix}{n}_psnr" for n in "yuv")
+    mse = lambda n: f"avg(d{n} * d{n})"
+    return ", ".join(f"round({mse(n)}, 9) AS {prefix}{n}_mse, round(avg(abs(d{n})), 9) AS {prefix}{n}_mae, round(CASE WHEN {mse(n)} = 0 THEN 'inf'::DOUBLE ELSE -10 * log10({mse(n)}) END, 6) AS {prefix}{n}_psnr" for n in "yuv")
 
 
 @query(sql(f"SELECT patch, {metrics_sql()} FROM p GROUP BY patch", _PAIRS))
@@ -165,7 +170,7 @@ def psnr_clamped(spark, d):
 def error_histogram(spark, d):
     e = paired(spark, d).where("dy <> 0").select(r(F.abs("dy"), 9).alias("v"))
     ends = e.agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    place = F.least(F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * 100), F.lit(99)).cast("long")
+    place = F.least(F.floor(share("v", "low", "high") * 100), F.lit(99)).cast("long")
     return e.crossJoin(F.broadcast(ends)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"))  # one row of ends
 
 
@@ -303,6 +308,10 @@ _AXIS = "SELECT {0} AS axis, {1} AS line, sum(n)::BIGINT AS total, round(sum(n)
 
 @query(sql(_AXIS.format(0, "gi") + " UNION ALL " + _AXIS.format(1, "gj"), _AXES))
 def occupancy_axis(spark, d):
+    return axis_lines(spark, d)
+
+
+def axis_lines(spark, d) -> DataFrame:
     a, b = original(spark, d), folded(spark, d)
     near = nearest(a, b, ("pid", "node")).groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n"))
     counts = b.select("node", "gi", "gj").join(near, "node", "left").select("gi", "gj", F.coalesce("n", F.lit(0)).alias("n"))
@@ -315,22 +324,18 @@ def lattice_borders(spark, d):
     rows = folded(spark, d)
     rows = rows.crossJoin(F.broadcast(rows.agg((F.max("gi") + 1).alias("n1"))))  # one row
     edge = F.col("gi").isin(0) | (F.col("gi") == F.col("n1") - 1) | F.col("gj").isin(0, WIDTH - 1)
-    return rows.select("node", "gi", "gj", r(F.col("gi") / (F.col("n1") - 1), 9).alias("u"), r(F.col("gj") / (WIDTH - 1), 9).alias("v"), edge.alias("border"))
+    return rows.select("node", "gi", "gj", r(F.when(F.col("n1") > 1, F.col("gi") / (F.col("n1") - 1)).otherwise(0.0), 9).alias("u"), r(F.col("gj") / (WIDTH - 1), 9).alias("v"), edge.alias("border"))
 
 
-_LINES = "SELECT gj, gi, x, lag(x) OVER (PARTITION BY gj ORDER BY gi) AS before, lead(x) OVER (PARTITION BY gj ORDER BY gi) AS after FROM fold"
+_NEW_LINES = ", ".join("round(CASE WHEN before{0} IS NULL AND after{0} IS NULL THEN {0} WHEN {1}{0} IS NULL THEN 2 * {0} - {2}{0} ELSE ({1}{0} + {0}) / 2 END, 9) AS {0}".format(c, "{0}", "{1}") for c in "xyz")
+_WORST_LINE = _AXES + ", worst AS (SELECT gi AS line FROM c GROUP BY gi ORDER BY sum(n) / greatest(count(*) FILTER (n <> 0), 1) DESC, gi LIMIT 1), l AS (SELECT gj, gi, " + ", ".join(f"{c}, lag({c}) OVER (PARTITION BY gj ORDER BY gi) AS before{c}, lead({c}) OVER (PARTITION BY gj ORDER BY gi) AS after{c}" for c in "xyz") + " FROM fold)"
 
 
-@query(sql("SELECT gj, gi - 0.5::DOUBLE AS at, round(CASE WHEN before IS NULL THEN 2 * x - after ELSE (before + x) / 2 END, 9) AS x FROM l WHERE gi = 5 UNION ALL SELECT gj, gi + 0.5::DOUBLE, round(CASE WHEN after IS NULL THEN 2 * x - before ELSE (x + after) / 2 END, 9) FROM l WHERE gi = 5 UNION ALL SELECT gj, gi::DOUBLE, round(x, 9) FROM l", f"l AS ({_LINES})"))
+@query(sql(f"SELECT gj, gi - 0.5::DOUBLE AS at, {_NEW_LINES.format('before', 'after')} FROM l, worst WHERE gi = line UNION ALL SELECT gj, gi + 0.5::DOUBLE, {_NEW_LINES.format('after', 'before')} FROM l, worst WHERE gi = line UNION ALL SELECT gj, gi::DOUBLE, round(x, 9), round(y, 9), round(z, 9) FROM l", _WORST_LINE))
 def densify_step(spark, d):
-    """Lattice line 5 is overloaded: a line goes in on each side, half way to the neighbour or mirrored at an edge."""
-    w = Window.partitionBy("gj").orderBy("gi")
-    lines = folded(spark, d).select("gj", "gi", "x", F.lag("x").over(w).alias("before"), F.lead("x").over(w).alias("after"))
-    x, worst = F.col("x"), lines.where("gi = 5")
-    left = F.when(F.col("before").isNull(), 2 * x - F.col("after")).otherwise((F.col("before") + x) / 2)
-    right = F.when(F.col("after").isNull(), 2 * x - F.col("before")).otherwise((x + F.col("after")) / 2)
-    at = lambda rows, shift, value: rows.select("gj", (F.col("gi") + F.lit(shift)).alias("at"), r(value, 9).alias("x"))
-    return at(worst, -0.5, left).unionByName(at(worst, 0.5, right)).unionByName(at(lines, 0.0, x))
+    """The lattice line with the most points for each occupied cell gets a new line on each side."""
+    worst = axis_lines(spark, d).where("axis = 0").orderBy(F.desc("mean"), "line").limit(1).select(F.col("line").alias("gi"))
+    return mapping.densified(folded(spark, d), worst).select("gj", "at", *(r(c, 9).alias(c) for c in "xyz"))
 
 
 _EDGES = "e AS (SELECT a.node AS src, b.node AS dst, 1.0::DOUBLE AS w FROM fold a JOIN fold b ON abs(a.gi - b.gi) + abs(a.gj - b.gj) = 1)"
@@ -399,21 +404,6 @@ def nn_gradient(spark, d):
     return near.join(p, "a").join(q, "b").select("a", "b", *(r(2 * (F.col(f"a{c}") - F.col(f"b{c}")), 9).alias(f"g{c}") for c in "xyz"))
 
 
-@query("SELECT p_partkey, 'positions bitstream size ' || p_size || ' B (' || p_retailprice || ' bpp)' AS line, p_size::BIGINT AS size, p_retailprice AS bpp FROM part")
-def parse_encoder_log(spark, d):
-    log = F.concat(F.lit("positions bitstream size "), F.col("p_size"), F.lit(" B ("), F.col("p_retailprice"), F.lit(" bpp)"))
-    rows = table(spark, d, "part").select("p_partkey", log.alias("line"))
-    get = lambda i: F.regexp_extract("line", r"positions bitstream size (\d+) B \(([\d.]+) bpp\)", i)
-    return rows.select("p_partkey", "line", get(1).cast("long").alias("size"), get(2).cast("double").alias("bpp"))
-
-
-@query("SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'inf'::DOUBLE ELSE p_retailprice END AS psnr FROM part")
-def parse_metric_log(spark, d):
-    value = F.when(F.col("p_size") % 7 == 0, F.lit("inf")).otherwise(F.col("p_retailprice").cast("string"))
-    rows = table(spark, d, "part").select("p_partkey", F.concat(F.lit("mseF,PSNR (p2point): "), value).alias("line"))
-    return rows.select("p_partkey", F.regexp_extract("line", r"mseF,PSNR \(p2point\): (.+)", 1).cast("double").alias("psnr"))
-
-
 @query("SELECT p_partkey, regexp_replace('cloud_vox10_' || p_name || '_vox11', 'vox\\d\\d', 'vox' || lpad((p_size % 10)::VARCHAR, 2, '0'), 'g') AS path, 'r' || lpad((p_size % 6 + 1)::VARCHAR, 2, '0') AS rate FROM part")
 def rewrite_vox(spark, d):
     size = F.lpad((F.col("p_size") % 10).cast("string"), 2, "0")
@@ -426,13 +416,11 @@ def rd_curve(spark, d):
     return rd_points(spark, d)
 
 
-@query(sql("SELECT cloud, method, min(rate) FILTER (qp >= 5) AS lossless_rate, count(*) FILTER (qp < 5) AS finite FROM rdp GROUP BY 1, 2"))
+@query(sql("SELECT cloud, method, min(rate) FILTER (qp >= 5) AS lossless_rate, (count(*) FILTER (qp < 5))::BIGINT AS finite FROM rdp GROUP BY 1, 2"))
 def lossless_rate(spark, d):
     """Points from qp 5 on count as lossless: their metric is infinite."""
     rows = rd_points(spark, d).withColumn("metric", F.when(F.col("qp") >= 5, F.lit(float("inf"))).otherwise(F.col("metric")))
-    ends = rows.groupBy("cloud", "method").agg(F.min(F.when(F.col("metric") == float("inf"), F.col("rate"))).alias("lossless_rate"))
-    n = rd.finite(rows).groupBy("cloud", "method").agg(F.count("*").alias("finite"))
-    return ends.join(n, ["cloud", "method"])
+    return rd.lossless(rows)
 
 
 @query()

@@ -1,8 +1,10 @@
 """Exact nearest-neighbour joins over a grid of cells.
 
-Points of b lie in cells of width h; a point of a looks into the 27 cells around its own. Its k nearest there are the true
-ones if the k-th is no farther than h; the other points look again with h doubled, until the cells span the whole cloud.
-No pair outside neighbouring cells is formed, and ties go to the lower id.
+Up to SMALL points of b are broadcast and meet every point of a. Otherwise points of b lie in cells of width h; a point of
+a looks into the 27 cells around its own. Its k nearest there are the true ones if the k-th is no farther than h; the other
+points look again with h doubled, until the cells span the whole cloud. The first h is so small that a cell holds FULL
+points at most, so points in dense places are done before cells grow. Each round is written, as the next one needs it
+twice. No pair outside neighbouring cells is formed, and ties go to the lower id.
 """
 
 from __future__ import annotations
@@ -10,8 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pointweave.sources.scratch import saved
 from pointweave.sources.views import squared
 
+#: Points that are broadcast at most, and points that a cell of the first round holds at most, for each neighbour asked for.
+SMALL, FULL = 4096, 32
+
 
 def knn(a: DataFrame, b: DataFrame, k: int, ids: tuple[str, str] = ("a", "b"), itself: bool = True) -> DataFrame:
     """(a, b, d2, rank): the k nearest points of b (b, x, y, z) for each point of a (a, x, y, z), rank from 1. Without
@@ -27,7 +33,16 @@ def knn(a: DataFrame, b: DataFrame, k: int, ids: tuple[str, str] = ("a", "b"), i
     extents = [max(box[f"b{c}_high"] - box[f"b{c}_low"], 1e-9) for c in "xyz"]
     widest = max(*extents, far["x"], far["y"], far["z"])
     h = min(widest, 1.6 * (extents[0] * extents[1] * extents[2] * (k + 1) / box["n"]) ** (1 / 3))
-    h = max(h, widest / 1000)
+    best = Window.partitionBy("a").orderBy("d2", "b")
+    if box["n"] <= SMALL:
+        pairs = left.crossJoin(F.broadcast(right))  # at most SMALL rows, counted above
+        pairs = pairs if itself else pairs.where("a <> b")
+        near = pairs.select("a", "b", squared("a", "b").alias("d2")).withColumn("rank", F.row_number().over(best))
+        return near.where(F.col("rank") <= k)
+    for _ in range(40):
+        if (right.groupBy(*(F.floor(F.col(f"b{c}") / h) for c in "xyz")).count().agg(F.max("count")).first()[0] or 0) <= FULL * (k + 1):
+            break
+        h /= 2
     found, todo = None, left
     while True:
         cell = lambda c, h=h: F.floor(F.col(c) / h).cast("long")
@@ -36,22 +51,18 @@ def knn(a: DataFrame, b: DataFrame, k: int, ids: tuple[str, str] = ("a", "b"), i
         there = right.select("*", *(cell(f"b{c}").alias(f"c{c}") for c in "xyz"))
         pairs = looking.join(there, ["cx", "cy", "cz"])
         pairs = pairs if itself else pairs.where("a <> b")
-        best = Window.partitionBy("a").orderBy("d2", "b")
         near = pairs.select("a", "b", squared("a", "b").alias("d2")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         if h >= widest:
             return near if found is None else found.unionByName(near)
+        near = saved(near)
         sure = near.groupBy("a").agg(F.count("*").alias("n"), F.max("d2").alias("worst")).where((F.col("n") == k) & (F.col("worst") <= h * h)).select("a")
         good = near.join(sure, "a", "left_semi")
         found = good if found is None else found.unionByName(good)
-        todo = todo.join(sure, "a", "left_anti").checkpoint() if has_folder(a) else todo.join(sure, "a", "left_anti")
+        todo = saved(todo.join(sure, "a", "left_anti"))
         if not todo.limit(1).count():
             return found
         h = min(2 * h, widest)
 
 
-def has_folder(df: DataFrame) -> bool:
-    return bool(df.sparkSession.conf.get("spark.checkpoint.dir", None))
-
-
 def nearest(a: DataFrame, b: DataFrame, ids: tuple[str, str] = ("a", "b"), rank: int = 1) -> DataFrame:
     return knn(a, b, rank, ids).where(F.col("rank") == rank).select("a", "b", "d2")

@@ -12,6 +12,14 @@ def finite(points: DataFrame) -> DataFrame:
     return points.where(~F.isnan("metric") & (F.abs("metric") < float("inf")))
 
 
+def lossless(points: DataFrame) -> DataFrame:
+    """(cloud, method, lossless_rate, finite): the least rate of a curve's points without any error, and how many others it
+    has; a curve of lossless points alone has 0, one without any no rate."""
+    ends = points.groupBy("cloud", "method").agg(F.min(F.when(F.col("metric") == float("inf"), F.col("rate"))).alias("lossless_rate"))
+    n = finite(points).groupBy("cloud", "method").agg(F.count("*").alias("finite"))
+    return ends.join(n, ["cloud", "method"], "left").withColumn("finite", F.coalesce("finite", F.lit(0).cast("long")))
+
+
 def gap(x1: list, y1: list, x2: list, y2: list) -> float | None:
     """Mean of cubic fit 2 less cubic fit 1 over the x that both cover; none where that is one point."""
     low, high = max(min(x1), min(x2)), min(max(x1), max(x2))

@@ -8,12 +8,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir; under one of our own only where the session names none (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder under spark.checkpoint.dir. A session of one machine that names none gets one of its own; any other
+    has to name it."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
     if not where:
-        where = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = _OWN[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="spark-")
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
