@@ -37,7 +37,7 @@ from .common import U64, by_bytes, chunks, dropped, gram_hash, key_filter, mix,
 SHINGLE, PERCENT = 4, 80
 BANDS, DEPTH = 24, 4
 PLACES = BANDS * DEPTH
-FLOOR, AT_ONCE, MOST, REST = 0.58, 64, 2000, 12
+FLOOR, AT_ONCE, MOST, REST = 0.58, 64, 2000, 4
 TASK_LINKS = 200_000
 _SALTS = np.random.default_rng(7).integers(1, 1 << 62, 2 * PLACES + 2).astype(U64) | U64(1)
 
@@ -131,10 +131,11 @@ def bands(classes: DataFrame) -> DataFrame:
 
 
 def with_texts(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the texts of both; members has id and text."""
+    """Pairs (a, b) with the texts of both; members has id and text. A lead stands in many pairs as a: the last join deals
+    by b, so that its pairs are spread."""
     first = members.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     second = members.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(second, "b").join(first, "a").select("a", "b", "text_a", "text_b")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
 
 
 def both_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.RecordBatch, list]]:
