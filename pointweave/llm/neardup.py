@@ -37,7 +37,7 @@ from .common import U64, by_bytes, chunks, dropped, gram_hash, key_filter, mix,
 SHINGLE, PERCENT = 4, 80
 BANDS, DEPTH = 24, 4
 PLACES = BANDS * DEPTH
-FLOOR, AT_ONCE, MOST, REST = 0.58, 64, 2000, 4
+FLOOR, AT_ONCE, MOST, REST = 0.58, 16, 2000, 4
 TASK_LINKS = 200_000
 _SALTS = np.random.default_rng(7).integers(1, 1 << 62, 2 * PLACES + 2).astype(U64) | U64(1)
 
