@@ -22,5 +22,7 @@ def discovered(spark: SparkSession, path: str, schema: str, names: list[str], li
     rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path).select("*", F.col("_metadata.file_path").alias("file"))
     if not rows.limit(1).count():
         raise ValueError(f"no reports below {path}")
-    part = lambda n: F.url_decode(F.regexp_extract("file", f"/{n}=([^/]*)/", 1)).cast(like[n].dataType).alias(n)
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    # escaped once as a folder's name and once as a part of a path
+    part = lambda n: plain(plain(F.regexp_extract("file", f"/{n}=([^/]*)/", 1))).cast(like[n].dataType).alias(n)
     return rows.select(*(part(n) for n in names), *(c for c in rows.columns if c != "file"))
