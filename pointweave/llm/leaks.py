@@ -7,7 +7,7 @@ the right up to one of these without losing a common shingle, so the most simila
 have weighted SimHash fingerprints; RADIUS + 1 blocks of the fingerprint index them, so each pair of equal size within
 RADIUS bits meets in a block. Pairs within it are verified on their shingles, weighted by how often they stand there: sum
 of the lesser over sum of the greater weights, at least SIMILARITY. A text shorter than an item is its own window. A pair
-at the similarity itself differs in 9.7 bits on average; it is over RADIUS with a probability of about 1 in 3,000.
+at the similarity itself differs in 9.7 bits on average; it is over RADIUS with a probability of about 1 in 3,100.
 
 Null and empty texts and items have no words and match nothing. Repeated rows of documents match each by themselves and
 give one row for a doc_id and item. See common.identified for repeated and missing ids. Columns of both tables other than
