@@ -294,7 +294,10 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
         shared = stored(outside(left, members, shingle, percent))
         fits = shared.where("role = 1").select("bucket", "id").join(shared.where("role = 2").select("bucket", F.col("id").alias("lead")), "bucket")
         waiting = stored(fits.where("id <> lead").select("id", "lead").distinct())
-        rows = stored(sized(rarest(shared.where("role = 0").select("bucket", "lead", "id", "needed"))))
+        # sized() reads its buckets twice
+        near = stored(rarest(shared.where("role = 0").select("bucket", "lead", "id", "needed")))
+        rows = stored(sized(near))
+        dropped(near)
     roots = kinds.select("high", "low", "id").join(groups, "id", "left").select("high", "low", F.coalesce("to", "id").alias("component"))
     out = marks.join(roots, ["high", "low"], "left")
     mine = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id").cast("long"))
