@@ -8,16 +8,18 @@ compared on their full sets, from the texts, and linked if 100 * common >= PERCE
 components: union-find inside partitions, then rounds of joins.
 
 In buckets of AT_ONCE classes or less all pairs of different groups meet. In each larger bucket all classes meet one, B:
-that with the most bucket mates, as the middle of a group has. Say x is not linked to B. A class y that is linked to x and
-shares no shingle outside B with it has |x & y| <= |x & B|, so it is smaller than B and has at most
-|x & B| (100 + PERCENT) / PERCENT - |x| shingles: x meets the classes that are that small. Any other has to share with x a
-number of shingles outside B that x's size gives; so, where a bucket still holds different groups, classes with an equal
-shingle among their rarest such ones (as many as one of them must be in common) form the next level's buckets, in which
-the same is done again. Buckets of a level share a shingle that those of the last did not have to, so levels come to an
-end: at the latest when no bucket is large, but as soon as the large ones have MOST classes or less and no more than REST
-bucket mates for each class of the corpus, all pairs of these meet. A group costs about its size, not its square, and no link is lost. Pairs whose set sizes
-rule out the similarity, or whose signatures agree in less than FLOOR of the places (over five standard deviations below
-it), are not compared.
+that with the most bucket mates, as the middle of a group has. Say x is not linked to B. Two sets are linked if they differ
+in at most D = (100 - PERCENT) / (100 + PERCENT) of the sum of their sizes, so x differs from B in dx > D (|x| + |B|)
+shingles. A class y that is linked to x has more than (dy + D (|B| - |y|)) / 2 of its dy differences from B in common with
+x; this is more than 0, and if y is not linked to B either, the same holds for x. So x and y have an equal one among the
+first differences of each, as many as that leaves: in one order for all classes of B, shingles that B lacks (these are rare)
+before those that only B has. Where a bucket still holds different groups, the classes with such a difference in common form
+the next level's buckets, without B, in which the same is done again: one kind of bucket for classes that are not linked to
+B, one for these (with all the differences that a link to one near B may rest on) and those that are. As soon as the large
+buckets have MOST classes or less and no more than REST bucket mates for each class of the corpus, or no longer get less, all
+their pairs meet. A group costs about its size, not its square, and no link is lost. Pairs whose set sizes rule out the
+similarity, or whose signatures agree in less than FLOOR of the places (over five standard deviations below it), are not
+compared.
 
 Rows without doc_id belong to no group and stay (component null). Rows of one doc_id are one document with the sets of
 all of them standing for it. Other columns are left out by `grouped` and kept by `first_of_groups`.
@@ -130,12 +132,12 @@ def bands(classes: DataFrame) -> DataFrame:
     return classes.select("id", F.explode(cut).alias("bucket"))
 
 
-def with_texts(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs (a, b) with the texts of both; members has id and text. A lead stands in many pairs as a: the last join deals
+def with_texts(pairs: DataFrame, members: DataFrame, *more: str) -> DataFrame:
+    """Pairs (a, b), and columns `more` of theirs, with the texts of both; members has id and text. A lead stands in many pairs as a: the last join deals
     by b, so that its pairs are spread."""
     first = members.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
     second = members.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b", *more)
 
 
 def both_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -164,40 +166,31 @@ def compared(pairs: DataFrame, members: DataFrame, shingle: int, percent: int) -
     return with_texts(pairs, members).mapInArrow(run, "a long, b long")
 
 
-def outside(pairs: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(bucket, lead, id, needed, role) for each (a, b). Role 0: the shingles of b outside a, by which b may be linked to
-    others of a's bucket, of which a link has `needed` in common. Role 1: the sizes below a's with which a class inside a
-    may be linked to b; role 2: b's own size, if it is below a's."""
+def differences(pairs: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(bucket, id, role) for each lead a and class b of (a, b, other): the first differences of b from a that a link rests
+    on. Role 0: of a class that is not linked to a, for others such. Role 1: of a class that is linked to a, for those of
+    role 2, which are not linked to it and, as `other` says, not in its group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near, far = 100 - percent, 100 + percent
         for batch, rows in both_sets(batches, shingle):
             parts: list[tuple] = []
-            for a, b, (x, y) in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), rows):
-                rest = np.setdiff1d(y, x, assume_unique=True)
-                n, common = len(y), len(y) - len(rest)
-                seed = mix(np.array([a], np.int64).view(U64))
-                least = -(-percent * n // 100)  # the smallest partner that n allows
-                needed = max(1, -(-percent * (n + least) // (100 + percent)) - common)
-                most = min(len(x) - 1, common * (100 + percent) // percent - n)
-                fits = np.arange(least, most + 1) if 100 * common < percent * (n + len(x) - common) else np.zeros(0, int)
-                own = np.array([n] if n < len(x) else [], int)
-                for keys, r in ((rest, 0), (mix(fits.astype(U64) + U64(1 << 40)), 1), (mix(own.astype(U64) + U64(1 << 40)), 2)):
-                    parts.append((mix(keys ^ seed), a, b, needed, r))
+            for a, b, other, (x, y) in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("other").to_pylist(), rows):
+                lacks, only = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+                d, both = len(lacks) + len(only), len(x) + len(y)
+                linked = far * d <= near * both
+                needed = (far * d + near * (len(x) - len(y))) // (2 * far) + 1
+                ordered = mix(np.concatenate([lacks, only]) ^ mix(np.array([a], np.int64).view(U64)))
+                parts.append((ordered[: d - needed + 1] ^ U64(linked), b, int(linked)))
+                if other and not linked:
+                    least = max(1, -((near * both - far * d) // (2 * far)))
+                    parts.append((ordered[: d - least + 1] ^ U64(1), b, 2))
             long = [len(p[0]) for p in parts]
             column = lambda i, t: pa.array(np.repeat(np.array([p[i] for p in parts], np.int64), long).astype(t))
             whole = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, U64)
-            yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), column(1, np.int64), column(2, np.int64), column(3, np.int32), column(4, np.int8)], ["bucket", "lead", "id", "needed", "role"])
+            yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), column(1, np.int64), column(2, np.int8)], ["bucket", "id", "role"])
 
-    return with_texts(pairs, members).mapInArrow(run, "bucket long, lead long, id long, needed int, role byte")
-
-
-def rarest(shared: DataFrame) -> DataFrame:
-    """(bucket, id): of the m shingles outside its lead that a class shares with others there, the m - needed + 1 rarest;
-    two classes that have `needed` in common have one of these in common. The windows are as long as one text's set."""
-    often = shared.groupBy("bucket").agg(F.count("*").alias("often")).where("often > 1")
-    own = Window.partitionBy("lead", "id")
-    ranked = shared.join(often, "bucket").select("bucket", "id", "needed", F.row_number().over(own.orderBy("often", "bucket")).alias("rank"), F.count("*").over(own).alias("m"))
-    return ranked.where("rank <= m - needed + 1").select("bucket", "id").distinct()
+    return with_texts(pairs, members, "other").mapInArrow(run, "bucket long, id long, role byte")
 
 
 def forest(links: DataFrame) -> DataFrame:
@@ -268,14 +261,14 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     again = known.groupBy("doc_id", "high", "low").count().groupBy("doc_id").agg(F.count("*").alias("kinds")).where("kinds > 1").select("doc_id")
     tied = known.join(again, "doc_id", "left_semi").join(kinds.select("high", "low", "id"), ["high", "low"])
     links = tied.select(F.col("doc_id").cast("long").alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
-    groups, tried = None, None
-    waiting = rows.select("id", F.col("id").alias("lead")).where("false")
+    groups, tried, before = None, None, None
     while True:
         large = rows.where(F.col("size") > AT_ONCE)
-        meets, most = large.agg(F.sum("size"), F.max("size")).first()
-        last = (most or 0) <= MOST and (meets or 0) <= REST * kinds.count()
-        small = rows if last else rows.where(F.col("size") <= AT_ONCE)
-        new = crossed(grouped_rows(small.select("bucket", "id"), groups)).unionByName(waiting)
+        meets, most = large.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+        last = most <= MOST and meets <= REST * kinds.count() or before is not None and meets >= before
+        # The first level's buckets are bands, which the differences are not measured by.
+        before = None if tried is None else meets
+        new = crossed(grouped_rows((rows if last else rows.where(F.col("size") <= AT_ONCE)).select("bucket", "id"), groups))
         if not last:
             large = stored(led(large))
             new = new.unionByName(large.where("id <> lead").select("id", "lead"))
@@ -290,14 +283,13 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
         # Buckets that hold different groups besides the least set.
         named = stored(grouped_rows(large.where("id <> lead"), groups))
         apart = stored(named.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("bucket"))
-        left = named.join(apart, "bucket", "left_semi").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-        shared = stored(outside(left, members, shingle, percent))
-        fits = shared.where("role = 1").select("bucket", "id").join(shared.where("role = 2").select("bucket", F.col("id").alias("lead")), "bucket")
-        waiting = stored(fits.where("id <> lead").select("id", "lead").distinct())
-        # sized() reads its buckets twice
-        near = stored(rarest(shared.where("role = 0").select("bucket", "lead", "id", "needed")))
-        rows = stored(sized(near))
-        dropped(near)
+        left = named.join(apart, "bucket", "left_semi").select("lead", "id", "group").distinct()
+        own = groups.select(F.col("id").alias("lead"), "to")
+        left = left.join(own, "lead", "left").select(F.col("lead").alias("a"), F.col("id").alias("b"), (F.col("group") != F.coalesce("to", "lead")).alias("other"))
+        shared = stored(differences(left, members, shingle, percent))
+        sizes = shared.groupBy("bucket").agg(F.count("*").alias("size"), F.min("role").alias("low"), F.max("role").alias("high"))
+        rows = stored(shared.join(stored(sizes.where("size > 1 and (high = 0 or low < high)").select("bucket", "size")), "bucket").select("bucket", "id", "size"))
+        dropped(shared)
     roots = kinds.select("high", "low", "id").join(groups, "id", "left").select("high", "low", F.coalesce("to", "id").alias("component"))
     out = marks.join(roots, ["high", "low"], "left")
     mine = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id").cast("long"))
