@@ -12,14 +12,13 @@ that with the most bucket mates, as the middle of a group has. Say x is not link
 in at most D = (100 - PERCENT) / (100 + PERCENT) of the sum of their sizes, so x differs from B in dx > D (|x| + |B|)
 shingles. A class y that is linked to x has more than (dy + D (|B| - |y|)) / 2 of its dy differences from B in common with
 x; this is more than 0, and if y is not linked to B either, the same holds for x. So x and y have an equal one among the
-first differences of each, as many as that leaves: in one order for all classes of B, shingles that B lacks (these are rare)
-before those that only B has. Where a bucket still holds different groups, the classes with such a difference in common form
-the next level's buckets, without B, in which the same is done again: one kind of bucket for classes that are not linked to
-B, one for these (with all the differences that a link to one near B may rest on) and those that are. As soon as the large
-buckets have MOST classes or less and no more than REST bucket mates for each class of the corpus, or no longer get less, all
-their pairs meet. A group costs about its size, not its square, and no link is lost. Pairs whose set sizes rule out the
-similarity, or whose signatures agree in less than FLOOR of the places (over five standard deviations below it), are not
-compared.
+rarest differences of each, of those that others have too: all but one less than they must have in common. Where a bucket
+still holds different groups, the classes with such a difference in common form the next level's buckets, in which the same
+is done again: one kind for classes that are not linked to B, one for these and those that are. As soon as the large buckets
+have MOST classes or less and no more than REST bucket mates for each class of the corpus, or their mates no longer get
+fewer, all their pairs meet. A group costs about its size, not its square, and no link is lost. Pairs whose set sizes rule
+out the similarity, or whose signatures agree in less than FLOOR of the places (over five standard deviations below it), are
+not compared.
 
 Rows without doc_id belong to no group and stay (component null). Rows of one doc_id are one document with the sets of
 all of them standing for it. Other columns are left out by `grouped` and kept by `first_of_groups`.
@@ -39,7 +38,7 @@ from .common import U64, by_bytes, chunks, dropped, gram_hash, key_filter, mix,
 SHINGLE, PERCENT = 4, 80
 BANDS, DEPTH = 24, 4
 PLACES = BANDS * DEPTH
-FLOOR, AT_ONCE, MOST, REST = 0.58, 16, 2000, 4
+FLOOR, AT_ONCE, MOST, REST = 0.58, 16, 2000, 16
 TASK_LINKS = 200_000
 _SALTS = np.random.default_rng(7).integers(1, 1 << 62, 2 * PLACES + 2).astype(U64) | U64(1)
 
@@ -167,30 +166,49 @@ def compared(pairs: DataFrame, members: DataFrame, shingle: int, percent: int) -
 
 
 def differences(pairs: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(bucket, id, role) for each lead a and class b of (a, b, other): the first differences of b from a that a link rests
-    on. Role 0: of a class that is not linked to a, for others such. Role 1: of a class that is linked to a, for those of
-    role 2, which are not linked to it and, as `other` says, not in its group."""
+    """(bucket, lead, id, linked, other, needed, least): the differences of each class b from its lead a in (a, b, other).
+    `needed`: how many of them another class has in common with b, if a link of both is still to be found; `least`: how
+    many, if b is not linked to a and that class is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near, far = 100 - percent, 100 + percent
         for batch, rows in both_sets(batches, shingle):
-            parts: list[tuple] = []
+            keys, about = [], []
             for a, b, other, (x, y) in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("other").to_pylist(), rows):
-                lacks, only = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
-                d, both = len(lacks) + len(only), len(x) + len(y)
-                linked = far * d <= near * both
+                own = np.setxor1d(x, y, assume_unique=True)
+                d, both = len(own), len(x) + len(y)
                 needed = (far * d + near * (len(x) - len(y))) // (2 * far) + 1
-                ordered = mix(np.concatenate([lacks, only]) ^ mix(np.array([a], np.int64).view(U64)))
-                parts.append((ordered[: d - needed + 1] ^ U64(linked), b, int(linked)))
-                if other and not linked:
-                    least = max(1, -((near * both - far * d) // (2 * far)))
-                    parts.append((ordered[: d - least + 1] ^ U64(1), b, 2))
-            long = [len(p[0]) for p in parts]
-            column = lambda i, t: pa.array(np.repeat(np.array([p[i] for p in parts], np.int64), long).astype(t))
-            whole = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, U64)
-            yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), column(1, np.int64), column(2, np.int8)], ["bucket", "id", "role"])
-
-    return with_texts(pairs, members, "other").mapInArrow(run, "bucket long, id long, role byte")
+                keys.append(mix(own ^ mix(np.array([a], np.int64).view(U64))) & ~U64(1))
+                about.append((a, b, far * d <= near * both, other, needed, max(1, -((near * both - far * d) // (2 * far)))))
+            long = [len(k) for k in keys]
+            columns = [np.repeat(np.array(c), long) for c in zip(*about)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(c) for c in columns)], ["bucket", "lead", "id", "linked", "other", "needed", "least"])
+
+    return with_texts(pairs, members, "other").mapInArrow(run, "bucket long, lead long, id long, linked boolean, other boolean, needed long, least long")
+
+
+def rarest(shared: DataFrame) -> DataFrame:
+    """(bucket, id, size) from differences(): of the m differences that a class has in common with one it may be linked to,
+    the m - needed + 1 rarest, as two linked classes have one of these in common. Even buckets hold classes that are not
+    linked to the lead; odd ones those that are and those of other groups that are not. A class's rows are as many as one
+    text's differences."""
+    here, own = Window.partitionBy("bucket"), Window.partitionBy("lead", "id")
+    count = lambda c: F.count(F.when(c, 1)).over(here)
+    linked, far = F.col("linked"), F.col("other") & ~F.col("linked")
+    counted = shared.select("*", count(~linked).alias("u"), count(linked).alias("l"), count(far).alias("o"))
+    apart = ~linked & (F.col("u") > 1)
+    across = linked & (F.col("o") > 0) | far & (F.col("l") > 0)
+    counted = counted.select("*", apart.alias("apart"), across.alias("across")).where("apart or across")
+    order = lambda kind, often: F.row_number().over(own.orderBy(F.desc(kind), often, "bucket"))
+    total = lambda kind: F.count(F.when(F.col(kind), 1)).over(own)
+    first = counted.select("bucket", "id", (F.col("apart") & (order("apart", F.col("u")) <= total("apart") - F.col("needed") + 1)).alias("even"),
+                           (F.col("across") & (order("across", F.col("l") + F.col("o")) <= total("across") - F.when(linked, F.col("needed")).otherwise(F.col("least")) + 1)).alias("odd"), "linked")
+    even = F.when(F.col("even"), F.struct("bucket", F.lit(False).alias("linked"), F.lit(False).alias("odd")))
+    odd = F.when(F.col("odd"), F.struct((F.col("bucket") + 1).alias("bucket"), "linked", F.lit(True).alias("odd")))
+    near = stored(first.where("even or odd").select("id", F.explode(F.array_compact(F.array(even, odd))).alias("r")).select("id", "r.*"))
+    sizes = near.groupBy("bucket", "odd").agg(F.count("*").alias("size"), F.min("linked").alias("low"), F.max("linked").alias("high"))
+    sizes = stored(sizes.where("size > 1 and (not odd or low <> high)").select("bucket", "size"))
+    return near.join(sizes, "bucket").select("bucket", "id", "size")
 
 
 def forest(links: DataFrame) -> DataFrame:
@@ -287,8 +305,7 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
         own = groups.select(F.col("id").alias("lead"), "to")
         left = left.join(own, "lead", "left").select(F.col("lead").alias("a"), F.col("id").alias("b"), (F.col("group") != F.coalesce("to", "lead")).alias("other"))
         shared = stored(differences(left, members, shingle, percent))
-        sizes = shared.groupBy("bucket").agg(F.count("*").alias("size"), F.min("role").alias("low"), F.max("role").alias("high"))
-        rows = stored(shared.join(stored(sizes.where("size > 1 and (high = 0 or low < high)").select("bucket", "size")), "bucket").select("bucket", "id", "size"))
+        rows = stored(rarest(shared))
         dropped(shared)
     roots = kinds.select("high", "low", "id").join(groups, "id", "left").select("high", "low", F.coalesce("to", "id").alias("component"))
     out = marks.join(roots, ["high", "low"], "left")
