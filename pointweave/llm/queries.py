@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import brown, leaks, neardup, passages, pieces, privacy, quality, sharding, suffixes, toxicity
+from . import brown, chat, leaks, neardup, passages, pieces, privacy, quality, sharding, suffixes, toxicity
 from .common import table
 
 
@@ -57,8 +58,17 @@ def op10_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.personal(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has one turn a row; conversation -1 comes as a list of messages."""
+    said = "<|im_end|><|im_start|>assistant ok"
+    turns = chat.as_records(table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text"), "conv_id")
+    messages = F.array(*(F.struct(F.lit(role).alias("role"), F.lit(said).alias("content")) for role in ("user", "assistant")))
+    more = chat.as_records(spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), messages.alias("messages")), "conv_id")
+    return chat.read_back(chat.formatted(chat.canonical(turns.unionByName(more), "conv_id"), "conv_id"), "conv_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_suffix_array, op3_brown, op4_decontamination, op5_sharding, op6_quality, op7_near_dedup, op8_passages, op9_toxicity, op10_privacy)
+    f.__name__: f for f in (op1_sentencepiece, op2_suffix_array, op3_brown, op4_decontamination, op5_sharding, op6_quality, op7_near_dedup, op8_passages, op9_toxicity, op10_privacy, op12_chat)
 }
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -104,5 +114,14 @@ flat AS (SELECT doc_id, p, ws[p] AS word FROM w, unnest(range(1, len(ws) + 1)) A
 kept AS (SELECT f.doc_id, string_agg(word, ' ' ORDER BY p) AS txt, count(*) AS n FROM flat f ANTI JOIN gone g USING (doc_id, p) GROUP BY f.doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
+""",
+    "op12_chat": r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) AS r(i)),
+f AS (SELECT *, 12 + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g')) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + 11 AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
 """,
 }
