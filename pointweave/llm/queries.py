@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, chat, leaks, neardup, passages, pieces, privacy, quality, sharding, suffixes, toxicity
+from . import brown, chat, leaks, neardup, passages, pieces, privacy, quality, sharding, spelling, suffixes, toxicity
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op10_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.personal(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table has one turn a row; conversation -1 comes as a list of messages."""
     said = "<|im_end|><|im_start|>assistant ok"
@@ -68,7 +72,7 @@ def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_suffix_array, op3_brown, op4_decontamination, op5_sharding, op6_quality, op7_near_dedup, op8_passages, op9_toxicity, op10_privacy, op12_chat)
+    f.__name__: f for f in (op1_sentencepiece, op2_suffix_array, op3_brown, op4_decontamination, op5_sharding, op6_quality, op7_near_dedup, op8_passages, op9_toxicity, op10_privacy, op11_spelling, op12_chat)
 }
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -114,6 +118,21 @@ flat AS (SELECT doc_id, p, ws[p] AS word FROM w, unnest(range(1, len(ws) + 1)) A
 kept AS (SELECT f.doc_id, string_agg(word, ' ' ORDER BY p) AS txt, count(*) AS n FROM flat f ANTI JOIN gone g USING (doc_id, p) GROUP BY f.doc_id)
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)
+""",
+    "op11_spelling": r"""
+WITH RECURSIVE crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS w FROM documents),
+found AS (SELECT coalesce(doc_id::VARCHAR, '') || ':' || w AS s, w, count(*) AS n FROM runs GROUP BY ALL),
+bytes AS (SELECT w, n, flatten(list_transform(string_split(s, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c)::BIGINT >> 6), 128 + (unicode(c)::BIGINT & 63)] END)) AS b FROM found),
+sums AS (SELECT w, n, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) AS h FROM bytes, crc),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM sums) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (SELECT word, i, substr(word, 1, i) || substr(word, i + 2) AS d FROM words, unnest(range(length(word))) AS t(i)),
+gone AS (SELECT DISTINCT cut.word, d AS near FROM cut JOIN words ON words.word = d),
+near AS (SELECT DISTINCT a.word, b.word AS near FROM cut a JOIN cut b ON a.d = b.d AND a.i = b.i AND a.word <> b.word UNION SELECT word, near FROM gone UNION SELECT near, word FROM gone),
+best AS (SELECT near.word, near, words.n AS form_n, count(*) OVER (PARTITION BY near.word) AS n_near, row_number() OVER (PARTITION BY near.word ORDER BY words.n DESC, near) AS k FROM near JOIN words ON words.word = near),
+forms AS (SELECT words.word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN form_n >= 2 * n THEN near END AS form, CASE WHEN form_n >= 2 * n THEN form_n END AS form_n FROM words LEFT JOIN best ON best.word = words.word AND k = 1),
+walk AS (SELECT word, word AS step FROM words UNION ALL SELECT walk.word, form FROM walk JOIN forms ON forms.word = step WHERE form IS NOT NULL)
+SELECT forms.*, step AS root FROM forms JOIN walk USING (word) JOIN forms e ON e.word = step WHERE e.form IS NULL
 """,
     "op12_chat": r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
