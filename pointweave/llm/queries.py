@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown, chat, leaks, neardup, passages, pieces, privacy, quality, sharding, spelling, suffixes, toxicity
+from . import brown, chat, leaks, neardup, negatives, passages, pieces, privacy, quality, sharding, spelling, suffixes, toxicity
 from .common import table
 
 
@@ -71,8 +71,12 @@ def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.formatted(chat.canonical(turns.unionByName(more), "conv_id"), "conv_id"), "conv_id")
 
 
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mined(negatives.relabelled(negatives.usable(table(spark, sf_dir, "embeddings"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_suffix_array, op3_brown, op4_decontamination, op5_sharding, op6_quality, op7_near_dedup, op8_passages, op9_toxicity, op10_privacy, op11_spelling, op12_chat)
+    f.__name__: f for f in (op1_sentencepiece, op2_suffix_array, op3_brown, op4_decontamination, op5_sharding, op6_quality, op7_near_dedup, op8_passages, op9_toxicity, op10_privacy, op11_spelling, op12_chat, op13_negatives)
 }
 
 _WORDS = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
@@ -142,5 +146,15 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
 FROM f GROUP BY conv_id
+""",
+    "op13_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i]))::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 10
 """,
 }
