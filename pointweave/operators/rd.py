@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,31 +18,73 @@ def lossless(points: DataFrame) -> DataFrame:
     return ends.join(n, ["cloud", "method"], "left").withColumn("finite", F.coalesce("finite", F.lit(0).cast("long")))
 
 
-def gap(x1: list, y1: list, x2: list, y2: list) -> float | None:
-    """Mean of cubic fit 2 less cubic fit 1 over the x that both cover; none where that is one point."""
-    low, high = max(min(x1), min(x2)), min(max(x1), max(x2))
-    if high == low:
-        return None
-    area = []
-    for x, y in ((x1, y1), (x2, y2)):
-        whole = np.polynomial.Polynomial.fit(x, y, 3).integ()
-        area.append(whole(high) - whole(low))
-    return float((area[1] - area[0]) / (high - low))
-
-
-def compared(points: DataFrame, anchor: str) -> DataFrame:
-    """(cloud, method, bd_rate, bd_snr) of each method against the anchor; a curve has a few points."""
-    curve = finite(points).groupBy("cloud", "method").agg(F.sort_array(F.collect_list(F.struct("rate", "metric"))).alias("c"))
-    base = curve.where(F.col("method") == anchor).select("cloud", F.col("c").alias("base"))
-    both = curve.where(F.col("method") != anchor).join(base, "cloud").select("cloud", "method", F.col("c.rate").alias("rate"), F.col("c.metric").alias("metric"), F.col("base.rate").alias("rate0"), F.col("base.metric").alias("metric0"))
-
-    def run(frames):
-        for pdf in frames:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                lr, lr0 = np.log(r.rate), np.log(r.rate0)
-                rate, snr = gap(r.metric0, lr0, r.metric, lr), gap(lr0, r.metric0, lr, r.metric)
-                rows.append((r.cloud, r.method, None if rate is None else (np.exp(min(rate, 200)) - 1) * 100, 0.0 if snr is None else snr))
-            yield pd.DataFrame(rows, columns=["cloud", "method", "bd_rate", "bd_snr"])
-
-    return both.mapInPandas(run, "cloud string, method string, bd_rate double, bd_snr double")
+#: A cubic's coefficients.
+ORDER = 4
+
+
+def cubics(points: DataFrame, x: Column, y: Column, by: list[str]) -> DataFrame:
+    """(by, low, high, mid, half, c0, .., c3): the least squares cubic y = sum of c_i z**i, z = (x - mid) / half, of each
+    group's points, from sums of powers; z lies in [-1, 1]. A group of fewer than four different x has no coefficients."""
+    rows = points.select(*by, x.alias("x"), y.alias("y"))
+    ends = rows.groupBy(*by).agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count_distinct("x").alias("places"))
+    scale = ends.withColumns({"mid": (F.col("low") + F.col("high")) / 2, "half": F.when(F.col("high") > F.col("low"), (F.col("high") - F.col("low")) / 2).otherwise(1.0)})
+    z = (F.col("x") - F.col("mid")) / F.col("half")
+    powers = [F.lit(1.0)]
+    for _ in range(2 * ORDER - 2):
+        powers.append(powers[-1] * F.col("z"))
+    sums = [F.sum(p).alias(f"m{i}") for i, p in enumerate(powers)] + [F.sum(F.col("y") * p).alias(f"b{i}") for i, p in enumerate(powers[:ORDER])]
+    known = ["low", "high", "mid", "half", "places"]
+    out = rows.join(scale, by).withColumn("z", z).groupBy(*by, *known).agg(*sums)
+    # Cholesky's factors of the matrix m(i + j), then both triangles
+    for i in range(ORDER):
+        for j in range(i + 1):
+            rest = F.col(f"m{i + j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
+            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(0.0))) if i == j else F.try_divide(rest, F.col(f"l{j}{j}")))
+        left = F.col(f"b{i}") - sum((F.col(f"l{i}{k}") * F.col(f"t{k}") for k in range(i)), F.lit(0.0))
+        out = out.withColumn(f"t{i}", F.when(F.col("places") >= ORDER, F.try_divide(left, F.col(f"l{i}{i}"))))
+    for i in reversed(range(ORDER)):
+        left = F.col(f"t{i}") - sum((F.col(f"l{k}{i}") * F.col(f"c{k}") for k in range(i + 1, ORDER)), F.lit(0.0))
+        out = out.withColumn(f"c{i}", F.try_divide(left, F.col(f"l{i}{i}")))
+    return out.select(*by, "low", "high", "mid", "half", *(f"c{i}" for i in range(ORDER)))
+
+
+def mean_of(prefix: str, low: Column, high: Column) -> Column:
+    """The mean of a cubic between two ends, by its integral in closed form."""
+    at = lambda e: (e - F.col(f"{prefix}mid")) / F.col(f"{prefix}half")
+    z0, z1 = at(low), at(high)
+    # (z1**(i+1) - z0**(i+1)) / (z1 - z0) as a sum of products, which does not cancel
+    parts = []
+    for i in range(ORDER):
+        terms = []
+        for j in range(i + 1):
+            term = F.lit(1.0)
+            for f in [z1] * j + [z0] * (i - j):
+                term = term * f
+            terms.append(term)
+        parts.append(F.col(f"{prefix}c{i}") / (i + 1) * sum(terms[1:], terms[0]))
+    return sum(parts[1:], parts[0])
+
+
+def gaps(points: DataFrame, x: Column, y: Column, anchor: Column, name: str, by: list[str]) -> DataFrame:
+    """(by, method, <name>): the mean of each method's cubic less that of its group's anchor, over the x that both cover; null
+    where that is one point or a curve has too few."""
+    fits = cubics(points, x, y, [*by, "method"])
+    columns = [c for c in fits.columns if c not in (*by, "method")]
+    base = fits.where(F.col("method") == anchor).select(*by, *(F.col(c).alias(f"a_{c}") for c in columns))
+    both = fits.where(F.col("method") != anchor).select(*by, "method", *(F.col(c).alias(f"m_{c}") for c in columns)).join(base, by)
+    low, high = F.greatest("a_low", "m_low"), F.least("a_high", "m_high")
+    return both.select(*by, "method", F.when(low != high, mean_of("m_", low, high) - mean_of("a_", low, high)).alias(name))
+
+
+def compared(points: DataFrame, anchor: str, by: list[str] = ["cloud"]) -> DataFrame:  # noqa: B006
+    """(by, method, bd_rate, bd_snr) of each method against the anchor: the mean gap of log rates as a percentage (its
+    exponent 200 at most), and of metrics, 0 where curves share one rate alone. Points without a finite metric or a positive
+    rate are left out; curves of fewer than four different points have no comparison."""
+    some = finite(points).where("rate > 0")
+    log = F.log(F.col("rate"))
+    rate = gaps(some, F.col("metric"), log, F.lit(anchor), "g", by)
+    snr = gaps(some, log, F.col("metric"), F.lit(anchor), "bd_snr", by)
+    one = some.groupBy(*by, "method").agg(F.count_distinct("rate").alias("n"))
+    all_ = rate.join(snr, [*by, "method"]).join(one, [*by, "method"])
+    share = F.when((F.col("n") >= ORDER) & F.col("g").isNotNull(), F.coalesce("bd_snr", F.lit(0.0))).otherwise(F.col("bd_snr"))
+    return all_.select(*by, "method", ((F.exp(F.when(F.col("g") > 200, 200.0).otherwise(F.col("g"))) - 1) * 100).alias("bd_rate"), share.alias("bd_snr"))
