@@ -1,8 +1,9 @@
 """Text PLY files of coloured points as a source and a sink.
 
 Files are read as lines, so a large one is split between tasks. Header lines start with a word and points with a number.
-The columns are those of the header of one file; the files of a set share it, and `counts` tells which hold other
-numbers of points than their header says.
+Each file's points are read by that file's header: properties are found by name, whatever their order, and one that a
+file lacks is null. A property that files give different types is a double. Files hold points alone; `counts` tells
+which hold other numbers of points than their header says. Binary files: see `ply_binary`.
 """
 
 from __future__ import annotations
@@ -23,21 +24,43 @@ def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.col("_metadata.file_path").alias("file"))
 
 
-def header(spark: SparkSession, path: str | list[str], most: int = 200) -> list[tuple[str, str]]:
-    """(type, name) of each property, from the first `most` lines of one file; a header has a few dozen."""
-    one = lines(spark, path).select("file").limit(1).first()
-    if one is None:
-        raise ValueError(f"no lines in {path}")
-    # the first rows of a single file are its first lines
-    found = [r[0].split() for r in spark.read.text(one[0]).take(most)]
-    return [(w[1], w[2]) for w in found if w[:1] == ["property"]]
+def headers(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, types, names) of each file's vertex properties in order; a header has a few dozen lines."""
+    # rows of one file are numbered in the order of its lines
+    top = lines(spark, path).select("file", F.monotonically_increasing_id().alias("i"), F.split(F.trim("value"), r"\s+").alias("w")).where(F.get("w", F.lit(0)).isin("element", "property"))
+    words = F.transform(F.sort_array(F.collect_list(F.struct("i", "w"))), lambda x: x["w"])
+    grouped = top.groupBy("file").agg(words.alias("top"))
+    start = F.struct(F.lit(True).alias("on"), F.array().cast("array<struct<type:string,name:string>>").alias("p"))
+
+    def step(acc: Column, w: Column) -> Column:
+        """Properties behind another element than the vertices are not theirs."""
+        more = F.array_append(acc["p"], F.struct(F.get(w, F.lit(1)).alias("type"), F.get(w, F.lit(2)).alias("name")))
+        element = F.get(w, F.lit(0)) == "element"
+        return F.struct(F.when(element, F.get(w, F.lit(1)) == "vertex").otherwise(acc["on"]).alias("on"), F.when(~element & acc["on"], more).otherwise(acc["p"]).alias("p"))
+
+    p = F.aggregate("top", start, step)["p"]
+    return grouped.select("file", p["type"].alias("types"), p["name"].alias("names"))
 
 
 def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file and the properties of each point; an unreadable number is null."""
-    split = F.split(F.trim("value"), r"\s+")
-    cells = [F.get(split, F.lit(i)).try_cast(TYPES[t]).alias(n) for i, (t, n) in enumerate(header(spark, path))]
-    return lines(spark, path).where(F.col("value").rlike(NUMBER)).select("file", *cells)
+    tops = headers(spark, path)
+    layouts = [(r["types"], r["names"]) for r in tops.groupBy("types", "names").agg(F.min("file").alias("f")).orderBy("f").collect()]  # kinds of headers
+    if not layouts:
+        raise ValueError(f"no header below {path}")
+    kinds: dict[str, str] = {}
+    for types, names in layouts:
+        for t, n in zip(types, names):
+            if t not in TYPES:
+                raise ValueError(f"property {n} of unknown type {t}")
+            kinds[n] = TYPES[t] if kinds.get(n, TYPES[t]) == TYPES[t] else "double"
+    rows = lines(spark, path).where(F.col("value").rlike(NUMBER)).select("file", F.split(F.trim("value"), r"\s+").alias("_cells"))
+    if len(layouts) == 1:
+        at = {n: F.lit(i) for i, n in enumerate(layouts[0][1])}
+    else:
+        rows = rows.join(tops.select("file", F.col("names").alias("_names")), "file")
+        at = {n: F.when(F.array_contains("_names", n), F.array_position("_names", n).cast("int") - 1) for n in kinds}
+    return rows.select("file", *(F.get("_cells", at[n]).try_cast(t).alias(n) for n, t in kinds.items()))
 
 
 def counts(spark: SparkSession, path: str | list[str]) -> DataFrame:
