@@ -1,4 +1,8 @@
-"""Logs of a point-cloud codec and of its metric tool: texts of five and ten values, one file for each cloud."""
+"""Logs of a point-cloud codec and of its metric tool: texts of five and ten values.
+
+`from_folders` reads trees with one file of each kind in a cloud's folder; `to_files` and `from_files` keep many logs in
+few files, line by line.
+"""
 
 from __future__ import annotations
 
@@ -59,3 +63,34 @@ def from_files(spark: SparkSession, path: str, key: str, kinds: list[str]) -> Da
     lines = spark.read.text(path).select(part[0].cast("long").alias(key), "kind", F.struct(part[1].cast("int").alias("n"), part[2].alias("line")).alias("l"))
     whole = F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: x["line"]), "\n")
     return lines.groupBy(key).pivot("kind", kinds).agg(whole)
+
+
+#: A cloud's folder, and the names of its logs.
+FOLDER, KINDS = r"^(.*)/[^/]+$", {"encoder": r"\.bin\.log$", "metric": r"\.pc_error$"}
+
+
+def from_folders(spark: SparkSession, root: str, folder: str = FOLDER, kinds: dict[str, str] = KINDS) -> DataFrame:
+    """folder and the whole text of each kind, from all folders of a tree that hold a log of any kind; `folder` is a
+    pattern whose group is the folder's name, `kinds` has one for the paths of each kind. Another number of logs of a kind
+    than one in a folder is an error, and so is a tree without logs. A log is one row, and has a few lines."""
+    path = F.col("_metadata.file_path")
+    kind = F.coalesce(*(F.when(path.rlike(p), F.lit(k)) for k, p in kinds.items()))
+    logs = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.regexp_extract(path, folder, 1).alias("folder"), kind.alias("kind"), "value")
+    logs = logs.where("kind is not null")
+    if not logs.limit(1).count():
+        raise ValueError(f"no logs below {root}")
+    of = lambda k: F.col("kind") == k
+    counted = logs.groupBy("folder").agg(*(F.count_if(of(k)).alias(f"n_{k}") for k in kinds), *(F.min(F.when(of(k), F.col("value"))).alias(k) for k in kinds))
+    wrong = lambda k: F.raise_error(F.concat(F.lit(f"{k} logs in "), "folder", F.lit(": "), F.col(f"n_{k}").cast("string"))).cast("string")
+    return counted.select("folder", *(F.when(F.col(f"n_{k}") == 1, F.col(k)).otherwise(wrong(k)).alias(k) for k in kinds))
+
+
+def to_folders(spark: SparkSession, rows: DataFrame, key: str, kinds: list[str]) -> str:
+    """A folder <key>=.. for each row, with a folder kind=.. and one file for each log. Returns the tree's folder."""
+    path = folder(spark, "logtree")
+    one = lambda kind: rows.select(key, F.lit(kind).alias("kind"), F.col(kind).alias("value"))
+    logs = one(kinds[0])
+    for kind in kinds[1:]:
+        logs = logs.unionByName(one(kind))
+    logs.repartition(key, "kind").write.partitionBy(key, "kind").option("lineSep", "\n").text(path)
+    return path

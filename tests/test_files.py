@@ -63,3 +63,102 @@ def test_text_files_with_properties_in_another_order(spark, tmp_path):
     (tmp_path / "c.ply").write_text(top.format("property float y\nproperty float x\nelement face 0\nproperty list uchar int z\n") + "2 1\n")
     got = ply.read(spark, str(tmp_path)).orderBy("file").select("x", "y", "z", "red").collect()
     assert [tuple(r) for r in got] == [(1.0, 2.0, 3.0, 9), (1.0, 2.0, 3.0, 9), (1.0, 2.0, None, None)]
+
+
+def test_pictures_there_and_back(spark):
+    import zlib
+
+    from pointweave.sources import images
+
+    rng = np.random.default_rng(1)
+    shapes = {"a": (7, 5), "b": (1, 1), None: (40, 3)}
+    nodes = [(k, i, j, *map(float, rng.integers(0, 256, 3))) for k, (h, w) in shapes.items() for i in range(h) for j in range(w)]
+    black = [("c", 9, 2, 300.0, -4.0, None), ("c", 9, 2, 300.0, -4.0, 5.0), ("c", -1, 0, 1.0, 1.0, 1.0), ("c", None, 0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(nodes + black, "image string, gi int, gj int, red double, green double, blue double").repartition(5)
+    files = images.pictures(df, strip=11)
+    got = {tuple(r) for r in images.pixels(files).collect()}
+    assert {r for r in got if r[0] != "c"} == {tuple(map(lambda v: int(v) if isinstance(v, float) else v, n)) for n in nodes}
+    assert {r for r in got if r[0] == "c"} == {("c", i, j, 0, 0, 0) for i in range(10) for j in range(3)} - {("c", 9, 2, 0, 0, 0)} | {("c", 9, 2, 255, 0, 0)}
+    sizes = {r["image"]: (r["height"], r["width"], bytes(r["png"])) for r in files.collect()}
+    assert sizes["a"][:2] == (7, 5) and sizes["c"][:2] == (10, 3)
+    # the strips are one zlib stream with the checksum of the whole
+    stream, at, png = b"", 8, sizes[None][2]
+    while at < len(png):
+        n = int.from_bytes(png[at : at + 4], "big")
+        stream += png[at + 8 : at + 8 + n] if png[at + 4 : at + 8] == b"IDAT" else b""
+        at += 12 + n
+    assert len(zlib.decompress(stream)) == 40 * (1 + 9)
+    assert images.pictures(df.where("gi > 99")).count() == 0
+
+
+def test_pictures_of_other_writers(spark):
+    import struct
+    import zlib
+
+    from pointweave.sources import images
+
+    rng = np.random.default_rng(2)
+    want = rng.integers(0, 256, (6, 4, 4))
+    raw, above = b"", np.zeros((4, 4), int)
+    for i, row in enumerate(want):
+        kind, out = i % 5, np.zeros((4, 4), int)
+        for x in range(4):
+            a, b, c = (row[x - 1] if x else 0 * row[0]), above[x], (above[x - 1] if x else 0 * row[0])
+            p = a + b - c
+            paeth = [min((abs(q - v), n, v) for n, v in enumerate((e, f, g)))[2] for q, e, f, g in zip(p, a, b, c)]
+            out[x] = (row[x] - [0 * a, a, b, (a + b) // 2, paeth][kind]) & 255
+        raw, above = raw + bytes([kind]) + out.astype(np.uint8).tobytes(), row
+    body = zlib.compress(raw)
+    png = images.SIGNATURE + images.chunk(b"IHDR", struct.pack(">IIBBBBB", 4, 6, 8, 6, 0, 0, 0)) + images.chunk(b"tEXt", b"x") + images.chunk(b"IDAT", body[:9]) + images.chunk(b"IDAT", body[9:]) + images.chunk(b"IEND", b"")
+    got = images.pixels(spark.createDataFrame([(1, bytearray(png)), (2, None)], "image int, png binary")).collect()
+    assert {(r["gi"], r["gj"], r["red"], r["green"], r["blue"]) for r in got} == {(i, j, *map(int, want[i, j, :3])) for i in range(6) for j in range(4)}
+    for bad in (b"no", png[:60], png.replace(b"IHDR", b"IHDX")):
+        with pytest.raises(Exception, match="PNG|cut off|checksum"):
+            list(images.unpacked(bad))
+
+
+def test_log_folders_hold_one_log_of_each_kind(spark, tmp_path):
+    from pointweave.sources import logs
+
+    for k, text in (("a/r01", "one\ntwo\n"), ("b c/r02", "three")):
+        os.makedirs(tmp_path / k)
+        (tmp_path / k / "x.ply.bin.log").write_text(text)
+        (tmp_path / k / "x.pc_error").write_text(text.upper())
+        (tmp_path / k / "notes.txt").write_text("other")
+    got = {r["folder"].rpartition("/")[2]: (r["encoder"], r["metric"]) for r in logs.from_folders(spark, str(tmp_path)).collect()}
+    assert got == {"r01": ("one\ntwo\n", "ONE\nTWO\n"), "r02": ("three", "THREE")}
+    (tmp_path / "a/r01/y.bin.log").write_text("again")
+    with pytest.raises(Exception, match="encoder logs in .*r01: 2"):
+        logs.from_folders(spark, str(tmp_path)).collect()
+    os.remove(tmp_path / "a/r01/y.bin.log")
+    os.remove(tmp_path / "a/r01/x.pc_error")
+    with pytest.raises(Exception, match="metric logs in .*r01: 0"):
+        logs.from_folders(spark, str(tmp_path)).collect()
+    with pytest.raises(ValueError):
+        logs.from_folders(spark, str(tmp_path), kinds={"none": "nothing"})
+
+
+def test_a_second_run_makes_nothing_and_a_lost_output_alone_is_made_again(spark, tmp_path):
+    import shutil
+
+    from pointweave.sources import manifest
+
+    folder, made = str(tmp_path / "job"), []
+    items = spark.createDataFrame([("a b", 1), ("c/d=1", 2), ("é+%", 3)], "item string, k int")
+
+    def work(todo):
+        made.append({r["item"] for r in todo.collect()})
+        return todo.select("item", (F.col("k") * 10).alias("v"))
+
+    assert manifest.resumed(items, folder, work) == 3
+    assert manifest.resumed(items, folder, work) == 0 and len(made) == 1
+    want = {("a b", 10), ("c/d=1", 20), ("é+%", 30)}
+    assert {tuple(r) for r in manifest.outputs(spark, folder, "v int").collect()} == want
+    lost = next(d for d in os.listdir(folder) if "c%2Fd" in d)
+    shutil.rmtree(f"{folder}/{lost}")
+    assert [r["item"] for r in manifest.absent(items, folder).collect()] == ["c/d=1"]
+    assert manifest.resumed(items, folder, work) == 1 and made[1:] == [{"c/d=1"}]
+    with pytest.raises(Exception, match="stop"):
+        manifest.resumed(spark.createDataFrame([("new", 1)], "item string, k int"), folder, lambda t: t.select("item", F.raise_error(F.lit("stop")).cast("int").alias("v")))
+    assert {tuple(r) for r in manifest.outputs(spark, folder, "v int").collect()} == want
+    assert manifest.resumed(items.where("k > 9"), folder, work) == 0
