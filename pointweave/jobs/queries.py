@@ -421,8 +421,3 @@ def lossless_rate(spark, d):
     """Points from qp 5 on count as lossless: their metric is infinite."""
     rows = rd_points(spark, d).withColumn("metric", F.when(F.col("qp") >= 5, F.lit(float("inf"))).otherwise(F.col("metric")))
     return rd.lossless(rows)
-
-
-@query()
-def bd_rate(spark, d):
-    return rd.compared(rd_points(spark, d), "A")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from pointweave.jobs.patches import GOLDEN
 from pointweave.jobs.queries import _AXES, _AXIS, _NAMES, _NEAR, QUERIES, SQL, axis_lines, cloud, color_symmetric, folded, original, query, r, rd_points, sql, table
-from pointweave.operators import rd
 from pointweave.operators.knn import nearest
 from pointweave.sources import logs, reports
 
@@ -94,9 +93,8 @@ _SIZES = "p_size::BIGINT AS position_bytes, p_size / 4.0::DOUBLE AS position_bpp
 _METRICS = ", ".join([f"{i} + p_size / 8.0::DOUBLE AS {n}" for i, n in enumerate(logs.METRICS) if n != "d1_psnr"] + ["CASE WHEN p_size % 7 = 0 THEN 'inf'::DOUBLE ELSE 1 + p_size / 8.0::DOUBLE END AS d1_psnr"])
 
 
-def codec_logs(spark, d):
-    """(p_partkey, encoder, metric, points): log texts of both tools, made from `part`."""
-    rows = table(spark, d, "part")
+def codec_logs(rows):
+    """(p_partkey, encoder, metric, points): log texts of both tools, made from (p_partkey, p_size)."""
     size, text = F.col("p_size"), lambda c: c.cast("string")
     encoder = logs.encoder_text(F.concat(F.lit("in/"), text(F.col("p_partkey")), F.lit(".ply")), size, size / 4.0, size * 3, size * 0.5)
     value = {n: i + size / 8.0 for i, n in enumerate(logs.METRICS)}
@@ -107,19 +105,19 @@ def codec_logs(spark, d):
 @query(f"SELECT p_partkey, 'in/' || p_partkey || '.ply' AS source, {_SIZES} FROM part")
 def parse_encoder_log(spark, d):
     """All five values of an encoder's log."""
-    return codec_logs(spark, d).select("p_partkey", *logs.encoder_values(F.col("encoder")))
+    return codec_logs(table(spark, d, "part")).select("p_partkey", *logs.encoder_values(F.col("encoder")))
 
 
 @query(f"SELECT p_partkey, {_METRICS} FROM part")
 def parse_metric_log(spark, d):
     """All ten values of a metric tool's log; `inf` is one."""
-    return codec_logs(spark, d).select("p_partkey", *logs.metric_values(F.col("metric")))
+    return codec_logs(table(spark, d, "part")).select("p_partkey", *logs.metric_values(F.col("metric")))
 
 
 @query(f"SELECT p_partkey, 'in/' || p_partkey || '.ply' AS source, {_SIZES}, {_METRICS}, (p_size * 10)::BIGINT AS points, 0.8::DOUBLE AS position_bits_per_input_point, 2.4::DOUBLE AS color_bits_per_input_point FROM part WHERE p_size > 0")
 def codec_report(spark, d):
     """Both logs in one report, written as text files and read again, with rates on the input's points."""
-    rows = codec_logs(spark, d).where("points > 0")
+    rows = codec_logs(table(spark, d, "part")).where("points > 0")
     read = logs.from_files(spark, logs.to_files(spark, rows, "p_partkey", ["encoder", "metric"]), "p_partkey", ["encoder", "metric"])
     all_ = read.join(rows.select("p_partkey", "points"), "p_partkey")
     rate = lambda c: r(F.col(f"{c}_bytes") * 8.0 / F.col("points"), 9).alias(f"{c}_bits_per_input_point")
@@ -146,12 +144,4 @@ def whole_cloud_report(spark, d):
     return whole.select(*(f"{p}{c}" for p in ("AB_", "BA_", "") for c in _NAMES), "size", "patches", r(F.col("size") * 8.0 / F.col("n"), 9).alias("bits_per_input_point"))
 
 
-@query()
-def rd_two_anchors(spark, d):
-    """Every method against two anchors, by rate and by metric."""
-    points = rd_points(spark, d)
-    one = lambda a: rd.compared(points, a).select(F.lit(a).alias("anchor"), "*")
-    return one("A").unionByName(one("N"))
-
-
 SQL["whole_cloud_report"] = SQL["color_symmetric"].replace("SELECT ab.*, ba.*", ", w AS (SELECT ab.*, ba.*", 1) + ") SELECT w.*, size, patches, round(size * 8::DOUBLE / n, 9) AS bits_per_input_point FROM w, (SELECT sum(pid + 8)::BIGINT AS size, count(DISTINCT patch) AS patches, count(*) AS n FROM ori)"
