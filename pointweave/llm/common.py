@@ -37,6 +37,12 @@ def by_bytes(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def aside(docs: DataFrame, *used: str) -> DataFrame:
+    """docs with numbers as names of all columns but those used, so that none clashes with an operator's own;
+    toDF(*docs.columns) gives the names back."""
+    return docs.toDF(*(c if c in used else f"_column{i}" for i, c in enumerate(docs.columns)))
+
+
 def words(text: Column) -> Column:
     return F.filter(F.split(text, SPACES, -1), lambda w: w != "")
 

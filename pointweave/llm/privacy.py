@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, chunks, session, stored
+from .common import aside, by_bytes, chunks, session, stored
 
 KINDS = ["email", "ip", "card", "phone"]
 #: Words on each side of an entity, least number of texts, and least share of its information.
@@ -204,9 +204,12 @@ def personal(docs: DataFrame) -> DataFrame:
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
-    """docs with each span of the text generalised to the name of its kind, and terms removed behind the mark [TERM]."""
-    names = docs.columns
-    rows = found(docs, names)
+    """docs with each span of the text generalised to the name of its kind, and terms removed behind the mark [TERM]. Other
+    columns keep their values, whatever their names. Null texts stay null; an empty table gives no rows; repeated rows are
+    changed alike; texts of any length are changed as a whole."""
+    known = aside(docs, "text")
+    names = known.columns
+    rows = found(known, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -224,4 +227,4 @@ def sanitised(docs: DataFrame) -> DataFrame:
             columns = [pa.array(out, pa.string()) if i == at else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns[: len(names)], names)
 
-    return rows.select(*(f"`{c}`" for c in names), "_base", "_terms").mapInArrow(run, docs.schema)
+    return rows.select(*(f"`{c}`" for c in names), "_base", "_terms").mapInArrow(run, known.schema).toDF(*docs.columns)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, chunks, session, stored
+from .common import aside, by_bytes, chunks, session, stored
 
 SYMBOLS = "#*$%&|<>"
 _SYMBOL = re.compile(rb"[#*$%&|<>]")
@@ -147,6 +147,9 @@ def rated(docs: DataFrame) -> DataFrame:
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their own columns. Documents and votes are kept as a table between fit and use."""
-    rows = stored(voted(docs))
-    return judged(rows, fitted(pattern_counts(rows))).where("kept").select(*(f"`{c}`" for c in docs.columns))
+    """The documents that stay, with their own columns, whatever their names. Documents and votes are kept as a table
+    between fit and use. Null and empty texts have too few words and go; an empty table gives no rows; repeated rows have
+    the same verdict; texts of any length are judged as a whole."""
+    known = aside(docs, "text")
+    rows = stored(voted(known))
+    return judged(rows, fitted(pattern_counts(rows))).where("kept").select(*known.columns).toDF(*docs.columns)
