@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pointweave.jobs.queries import _D2, _EDGES, _PAIRS, QUERIES, SQL, WIDTH, cloud, edges, folded, original, paired, query, r, rd_points, sql, table
 from pointweave.operators import curvature as curves
-from pointweave.operators import graph
+from pointweave.operators import graph, refine
 from pointweave.operators.knn import knn
 from pointweave.sources import ply
 from pointweave.sources.scratch import folder
@@ -131,8 +131,8 @@ def curvature_features(spark, d):
 
 @query()
 def refine_rounds(spark, d):
-    """Three rounds of refinement; graph.refined_often has a hundred by default."""
-    out = graph.refined_often(folded(spark, d), original(spark, d), edges(spark, d), rounds=3)
+    """A hundred rounds of refinement."""
+    out = refine.refined_often(folded(spark, d), original(spark, d), edges(spark, d), rounds=100)
     return out.select("node", *(r(c).alias(c) for c in "xyz"))
 
 

@@ -33,22 +33,26 @@ SMALL, FULL, LEAST, CROWD = 4096, 3, 64, 1 << 16
 TURNS = (16, 128)
 
 
-def knn(a: DataFrame, b: DataFrame, k: int, ids: tuple[str, str] = ("a", "b"), itself: bool = True, axes: tuple[str, ...] = AXES, small: int = SMALL) -> DataFrame:
+def knn(a: DataFrame, b: DataFrame, k: int, ids: tuple[str, str] = ("a", "b"), itself: bool = True, axes: tuple[str, ...] = AXES, small: int = SMALL, known: bool = False) -> DataFrame:
     """(a, b, d2, rank): the k nearest points of b (b, x, y, z) for each point of a (a, x, y, z), rank from 1. Without
-    itself, a point is not its own neighbour. The columns in `axes` are the coordinates."""
+    itself, a point is not its own neighbour. The columns in `axes` are the coordinates. `known`: the caller has counted b
+    and found `small` points at most."""
     ia, ib = ids
     good = lambda df, p: reduce(lambda s, c: s & (F.abs(F.col(p + c)) < float("inf")), axes, F.lit(True))
     left = a.select(F.col(ia).alias("a"), *(F.col(c).cast("double").alias(f"a{c}") for c in axes))
     left = left.where(good(left, "a"))
     right = b.select(F.col(ib).alias("b"), *(F.col(c).cast("double").alias(f"b{c}") for c in axes))
     right = right.where(good(right, "b"))
-    n = right.limit(small + 1).count()
+    n = 1 if known else right.limit(small + 1).count()
     if n > small:
         return searched(left, right, k, itself, axes)
     pairs = left.crossJoin(F.broadcast(right)) if n else left.join(right, F.lit(False))  # at most `small` rows, counted above
     pairs = pairs if itself else pairs.where("a <> b")
-    near = pairs.select("a", "b", apart(axes).alias("d2")).withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("d2", "b")))
-    return near.where(F.col("rank") <= k)
+    near = pairs.select("a", "b", apart(axes).alias("d2"))
+    if k == 1:  # no sort, and one row for each point and task in the shuffle
+        best = near.groupBy("a").agg(F.min(F.struct("d2", "b")).alias("m"))
+        return best.select("a", F.col("m.b").alias("b"), F.col("m.d2").alias("d2"), F.lit(1).alias("rank"))
+    return ranked(near, k)
 
 
 def apart(axes: tuple[str, ...]) -> Column:
@@ -60,11 +64,11 @@ def numbers(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     return np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], 1) if len(batch) else np.zeros((0, len(names)))
 
 
-def planted(right: DataFrame, k: int, axes: tuple[str, ...]) -> tuple[DataFrame, Tree]:
-    """(b, bx, .., cell), written, and the tree of the cells; of equal points the k lowest ids."""
+def planted(right: DataFrame, k: int, axes: tuple[str, ...], copies: bool = False) -> tuple[DataFrame, Tree]:
+    """(b, bx, .., cell), written, and the tree of the cells; of equal points the k lowest ids, or all with copies."""
     at = [f"b{c}" for c in axes]
     rank = F.row_number().over(Window.partitionBy(*at).orderBy("b"))
-    points = saved(right.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank"))
+    points = saved(right if copies else right.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank"))
     n = points.count()
     leaves = min(LEAVES, max(1, n // max(LEAST, FULL * k)))
     every = max(1, n // (SAMPLED * leaves))
@@ -83,9 +87,10 @@ def planted(right: DataFrame, k: int, axes: tuple[str, ...]) -> tuple[DataFrame,
     return cells, tree.measured(boxes["cell"].to_numpy(), take("low"), take("high"), boxes["n"].to_numpy())
 
 
-def looked_up(spots: DataFrame, tree: Tree, k: int, at: list[str], first: int = 0, last: int = 0) -> DataFrame:
+def looked_up(spots: DataFrame, tree: Tree, k: int, at: list[str], first: int = 0, last: int = 0, seeded: bool = True) -> DataFrame:
     """(cell, a, ax, .., worst, many): the cells that each point looks into: those near it that hold k points or, with
-    `last`, the first-th to last-th nearest of the others that reach into its ball of squared radius `worst`."""
+    `last`, the first-th to last-th nearest of those that reach into its ball of squared radius `worst`; if it is seeded, the
+    cells near it have been met and are left out."""
     kind = spots.schema["a"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +98,7 @@ def looked_up(spots: DataFrame, tree: Tree, k: int, at: list[str], first: int =
             for start in range(0, len(whole), 256):
                 batch = whole.slice(start, 256)
                 x = numbers(batch, at)
-                point, cell = tree.seeds(x, k)
+                point, cell = tree.seeds(x, k) if seeded else (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 many = np.zeros(len(x), bool)
                 if last:
                     seen = point * (1 << 32) + cell
@@ -164,22 +169,30 @@ def ranked(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.select("a", "b", "d2", rank.alias("rank")).where(F.col("rank") <= k)
 
 
-def searched(left: DataFrame, right: DataFrame, k: int, itself: bool, axes: tuple[str, ...]) -> DataFrame:
-    """knn() over cells."""
+def searched(left: DataFrame, right: DataFrame | None, k: int, itself: bool, axes: tuple[str, ...], index: tuple[DataFrame, Tree] | None = None, bound: DataFrame | None = None) -> DataFrame:
+    """knn() over cells, of planted() points if these are given. With bounds (a, worst), of each point's k-th squared
+    distance, no cell is met to find one first."""
     most, at = k + (not itself), [f"a{c}" for c in axes]
-    cells, tree = planted(right, most, axes)
+    cells, tree = index or planted(right, most, axes)
     spots = saved(left.groupBy(*at).agg(F.min("a").alias("a"), F.count("*").alias("n")))
-    near = saved(ranked(compared(looked_up(spots, tree, most, at), cells, most, axes), most))
+    near = saved(ranked(compared(looked_up(spots, tree, most, at), cells, most, axes), most)) if bound is None else None
+    if bound is not None:  # computed otherwise than here, it stays a bound after rounding
+        bound = bound.withColumn("worst", F.col("worst") * (1 + 1e-12))
     todo, begin = spots, 0
     for end in (*TURNS, 1 << 40):
-        # a point that has not found enough yet has no bound
-        worst = near.groupBy("a").agg(F.when(F.count("*") >= most, F.max("d2")).otherwise(float("inf")).alias("worst"))
-        look = saved(looked_up(todo.join(worst, "a"), tree, most, at, begin, end))
-        better = saved(ranked(near.drop("rank").unionByName(compared(look, cells, most, axes)), most))
-        removed(near)
+        worst = bound
+        if near is not None:
+            # a point that has not found enough yet has no bound of its own
+            worst = near.groupBy("a").agg(F.when(F.count("*") >= most, F.max("d2")).otherwise(float("inf")).alias("worst"))
+            worst = worst if bound is None else bound.join(worst.withColumnRenamed("worst", "w"), "a", "left").select("a", F.least("w", "worst").alias("worst"))
+        look = saved(looked_up(todo.join(worst, "a"), tree, most, at, begin, end, bound is None))
+        more = compared(look, cells, most, axes)
+        better = saved(ranked(more if near is None else near.drop("rank").unionByName(more), most))
+        if near is not None:
+            removed(near)
         near, begin = better, end
         todo = todo.join(look.where("many").select("a").distinct(), "a", "left_semi")
-        if not todo.limit(1).count():
+        if not look.where("many").limit(1).count():
             break
     if not spots.where("n > 1").limit(1).count() and left.limit(1).count():
         found = near

@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pointweave.operators import curvature, graph
+from pointweave.operators import curvature, graph, knn, refine
 from pointweave.sources import ply
+from pointweave.sources.scratch import saved
 
 RNG = np.random.default_rng(5)
 
@@ -84,6 +85,53 @@ def test_rounds_of_refinement_are_single_steps(spark):
     cloud = spark.createDataFrame([(i, *map(float, RNG.normal(size=3))) for i in range(20)], "pid long, x double, y double, z double")
     edges = graph.lattice_edges(lattice)
     twice = graph.refined(graph.refined(lattice, cloud, edges), cloud, edges)
-    got = {r[0]: tuple(r)[1:] for r in graph.refined_often(lattice, cloud, edges, 2).collect()}
+    got = {r[0]: tuple(r)[1:] for r in refine.refined_often(lattice, cloud, edges, 2).collect()}
     for r in twice.collect():
         assert got[r[0]] == pytest.approx(tuple(r)[1:])
+
+
+def refined_once(nodes, cloud, links):
+    """One round with dense matrices."""
+    scale = lambda m: np.divide(m, m.sum(1, keepdims=True), out=np.zeros_like(m), where=np.abs(m.sum(1, keepdims=True)) > 1e-16)
+    inner = links * ((nodes[:, None] - nodes[None]) ** 2).sum(-1) / links.sum(1, keepdims=True)
+    v = inner.sum(0) - inner.sum(0).min()
+    inner = scale(inner * v / v.max())
+    far = np.sqrt(((nodes[:, None] - cloud[None]) ** 2).sum(-1))
+    outer, met = np.zeros_like(far), np.zeros(far.shape, bool)
+    for i, j in [*enumerate(far.argmin(1)), *((int(i), j) for j, i in enumerate(far.argmin(0)))]:
+        outer[i, j] += far[i, j]
+        met[i, j] = True
+    outer[met] -= outer[met].min()
+    outer[met] /= outer[met].max()
+    both = scale(np.concatenate([inner, 2 * scale(outer)], 1))
+    return both @ np.concatenate([nodes, cloud])
+
+
+@pytest.mark.parametrize("small", [4096, 0])
+def test_rounds_of_refinement_against_dense_matrices(spark, small, monkeypatch):
+    monkeypatch.setattr(knn, "LEAST", 8)
+    rng = np.random.default_rng(15)
+    u, v = np.meshgrid(np.arange(9) / 8, np.arange(8) / 7, indexing="ij")
+    nodes = np.stack([u, v, 0 * u], -1).reshape(-1, 3) + 0.02 * rng.normal(size=(72, 3))
+    nodes[5] = nodes[6]  # copies that part later
+    cloud = np.concatenate([rng.random((200, 3)) * [1, 1, 0.3], [[3.0, 3, 3]]])
+    lattice = spark.createDataFrame([(i, i // 8, i % 8, *map(float, x)) for i, x in enumerate(nodes)], "node long, gi long, gj long, x double, y double, z double")
+    points = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(cloud)], "pid long, x double, y double, z double")
+    edges = saved(graph.lattice_edges(lattice))
+    links = np.zeros((72, 72))
+    for r in edges.collect():
+        links[r["src"], r["dst"]] = 1
+    for _ in range(3):
+        nodes = refined_once(nodes, cloud, links)
+    got = {r[0]: tuple(r)[1:] for r in refine.refined_often(lattice, points, edges, 3, small=small).collect()}
+    assert len(got) == 72
+    for i in range(72):
+        assert got[i] == pytest.approx(nodes[i].tolist(), abs=1e-9)
+
+
+def test_refinement_without_points_or_nodes(spark):
+    lattice = spark.createDataFrame([(0, 0, 0, 1.0, 2.0, 3.0), (1, 0, 1, 2.0, 2.0, 3.0)], "node long, gi long, gj long, x double, y double, z double")
+    none = spark.createDataFrame([], "pid long, x double, y double, z double")
+    edges = graph.lattice_edges(lattice)
+    assert {tuple(r) for r in refine.refined_often(lattice, none, edges, 1).collect()} == {(0, 0.0, 0.0, 0.0), (1, 0.0, 0.0, 0.0)}
+    assert refine.refined_often(lattice.where("node < 0"), none, edges.where("src < 0"), 2).count() == 0
