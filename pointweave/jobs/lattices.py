@@ -115,6 +115,10 @@ _WHOLE = "whole AS (SELECT * REPLACE (0 AS patch) FROM ori), " + _GREEDY.replace
 _LINES = "SELECT {0} AS axis, {1} AS line, sum(n)::BIGINT AS total, round(sum(n) / greatest(count(*) FILTER (n <> 0), 1), 6) AS mean FROM o GROUP BY {1}"
 
 
+def edges_of(lattice: DataFrame) -> DataFrame:
+    return saved(graph.lattice_edges(lattice))
+
+
 def one_cloud(spark, d) -> DataFrame:
     return original(spark, d).withColumn("patch", F.lit(0))
 
