@@ -122,7 +122,7 @@ def branches(words: DataFrame) -> DataFrame:
     as many as it has letters. Words without any have no near ones on that side."""
     paths = path_nodes(words)
     forks = paths.groupBy("node").agg(F.min("next").alias("low"), F.max("next").alias("high")).where("low < high").select("node")
-    some = paths.select("id", "side", "depth", "node").join(forks, "node")
+    some = paths.select("id", "side", "depth", "node").join(forks.hint("shuffle_hash"), "node")
     lists = some.groupBy("id", "side").agg(F.sort_array(F.collect_list(F.struct("depth", "node"))).alias("b"))
     return lists.join(words.select("id", "word"), "id").select("word", "side", F.col("b.depth").alias("depths"), F.col("b.node").alias("nodes"))
 
@@ -152,6 +152,7 @@ def stepped(frontier: DataFrame, edges: DataFrame) -> DataFrame:
     inner, follows = F.col("child").isNotNull(), F.startswith("rest", "label")
     passed = lambda met, taken, edits: met.select("word", F.substring("rest", taken + 1, n).alias("rest"), F.col("child").alias("node"), edits.cast("int").alias("edits"), "target")
     head = F.substring("rest", 1, 1).alias("head")
+    edges = edges.hint("shuffle_hash")  # a node has as many as there are letters at most, so no key is hot; states need no order
     forced = frontier.where("edits = 1").withColumn("head", head).join(edges, ["node", "head"]).where(follows & (inner | (n == m)))
     same, longer = F.substring("rest", F.lit(1), m), F.substring("rest", F.lit(1), m + 1)
     one = lambda part: F.levenshtein("label", part, 1) == 1
