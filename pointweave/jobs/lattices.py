@@ -162,6 +162,29 @@ def cut(points: DataFrame, patches: int) -> tuple[DataFrame, DataFrame]:
 PATCHES = 9
 
 
+def ramp_sql(value: str, stops: palette.Stops) -> str:
+    out = []
+    for c, name in enumerate("rgb"):
+        pieces = " ".join(f"WHEN {value} < {high} THEN {a[c]} + (greatest({value}, {low}) - {low}) / ({high} - {low})::DOUBLE * ({b[c] - a[c]})" for (low, a), (high, b) in zip(stops, stops[1:]))
+        out.append(f"round_even(CASE {pieces} WHEN {value} IS NOT NULL THEN {stops[-1][1][c]} END::DOUBLE, 0)::INT AS {name}")
+    return ", ".join(out)
+
+
+@query(sql(f"SELECT pid, {ramp_sql('v', palette.SEGMENTS)} FROM (SELECT pid, patch / greatest((SELECT max(patch) FROM cloud), 1)::DOUBLE AS v FROM cloud)"))
+def palette_map(spark, d):
+    """The colours of the labels, evenly along a ramp."""
+    points = cloud(spark, d)
+    last = points.agg((F.max("patch") + 1).alias("count"))
+    rows = points.crossJoin(F.broadcast(last))  # one row
+    return rows.select("pid", *(c.alias(n) for c, n in zip(palette.labels(F.col("patch"), F.col("count")), "rgb")))
+
+
+@query(sql(f"SELECT pid, {ramp_sql('v', palette.HEAT)} FROM (SELECT pid, red / 255 AS v FROM cloud)"))
+def heat_map(spark, d):
+    """A number of [0, 1] for each point as a colour from dark to light."""
+    return cloud(spark, d).select("pid", *(c.alias(n) for c, n in zip(palette.ramp(F.col("red") / 255, palette.HEAT), "rgb")))
+
+
 @query()
 def ward_patches(spark, d):
     return cut(features(spark, d), PATCHES)[0]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pointweave.functions import color
 from pointweave.operators import graph, mapping, rd
 from pointweave.operators.knn import knn, nearest
+from pointweave.sources.scratch import saved
 from pointweave.sources.views import WIDTH, cloud, folded, original, rd_points, table, voxel_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -298,7 +299,7 @@ def color_map_fwd_nofill(spark, d):
 
 @query(sql("SELECT s.pid, m.red, m.green, m.blue FROM s JOIN mean m USING (node)", _FORWARD, True))
 def color_map_bwd(spark, d):
-    a, b, m = original(spark, d), folded(spark, d), mapped(spark, d)
+    a, b, m = original(spark, d), folded(spark, d), saved(mapped(spark, d))
     return m.join(mapping.forward(a, b, m, fill=False), "node").select("pid", "red", "green", "blue")
 
 

@@ -43,14 +43,6 @@ def batched_lattice(spark, d):
     return cells(spark, d).select("patch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BATCH - 1).cast("long"))).alias("batch"), "node", "gi", "gj")
 
 
-@query(sql("SELECT pid, (patch * 97 + 40) % 256 AS r, (patch * 151 + 90) % 256 AS g, (255 - patch * 23) % 256 AS b FROM cloud"))
-def palette_map(spark, d):
-    """A colour of a palette, which is made by a rule and looked up by place, for each label."""
-    palette = [((i * 97 + 40) % 256, (i * 151 + 90) % 256, (255 - i * 23) % 256) for i in range(11)]
-    colours = F.array(*(F.struct(*(F.lit(c).alias(n) for c, n in zip(p, "rgb"))) for p in palette))
-    return cloud(spark, d).select("pid", F.get(colours, F.col("patch")).alias("c")).select("pid", "c.*")
-
-
 @query(sql("SELECT f.node, " + ", ".join(f"CASE WHEN count(o.pid) > 0 THEN round_even((any_value(n.{c}) + sum(o.{c})) / (1 + count(o.pid)), 0) ELSE any_value(n.{c}) END AS {c}" for c in ("red", "green", "blue")) + " FROM fold f JOIN kb ON kb.b = f.pid AND kb.rank = 1 JOIN ori n ON n.pid = kb.a LEFT JOIN k ON k.b = f.pid AND k.rank = 1 LEFT JOIN ori o ON o.pid = k.a GROUP BY f.node", _NEAR))
 def color_map_bidir(spark, d):
     """Each node has the colour of its nearest point; if it is the nearest node of points itself, the rounded mean of that
