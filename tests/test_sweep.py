@@ -62,3 +62,17 @@ def test_histograms_against_numpy(spark):
         for kind, some in (("all", square), ("nonzero", square[square > 0])):
             v = np.round(-10 * np.log10(np.maximum(some, 1e-8)), 9)
             assert got[n, kind].tolist() == np.histogram(v, 10)[0].tolist()
+
+
+def test_ramps(spark):
+    from pyspark.sql import functions as F
+
+    from pointweave.functions import palette
+
+    stops = [(0.0, (0, 10, 255)), (0.5, (100, 10, 0)), (1.0, (0, 30, 0))]
+    df = spark.createDataFrame([(v,) for v in (-1.0, 0.0, 0.25, 0.5, 0.75, 1.0, 7.0, None)], "v double")
+    got = [tuple(r) for r in df.select(*palette.ramp(F.col("v"), stops)).collect()]
+    assert got == [(0, 10, 255), (0, 10, 255), (50, 10, 128), (100, 10, 0), (50, 20, 0), (0, 30, 0), (0, 30, 0), (None, None, None)]
+    one = spark.createDataFrame([(0,), (2,)], "label int")
+    assert [tuple(r) for r in one.select(*palette.labels(F.col("label"), 3, stops)).collect()] == [(0, 10, 255), (0, 30, 0)]
+    assert tuple(one.limit(1).select(*palette.labels(F.col("label"), 1, stops)).first()) == (0, 10, 255)
