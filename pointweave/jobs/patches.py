@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pointweave.jobs.queries import _D2, _EDGES, _PAIRS, QUERIES, SQL, WIDTH, cloud, edges, folded, original, paired, query, r, rd_points, sql, table
 from pointweave.operators import curvature as curves
 from pointweave.operators import graph, refine
-from pointweave.operators.knn import knn
+from pointweave.operators.knn import knn, regions
 from pointweave.sources import ply
 from pointweave.sources.scratch import folder
 
@@ -140,7 +140,9 @@ def refine_rounds(spark, d):
 def label_smoothing(spark, d):
     """The patches of all points smoothed over the graph of their nearest neighbours."""
     points = cloud(spark, d)
-    root = points.count() ** (1 / 3)
-    near = knn(points, points, max(1, round(GRAPH_K * root)), ("pid", "pid"), itself=False)
+    n = points.count()
+    root = n ** (1 / 3)
+    k = max(1, round(GRAPH_K * root))
+    near = knn(points, points, k, ("pid", "pid"), itself=False)
     links = near.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("w"))
-    return graph.smoothed_labels(links, points.select("pid", F.col("patch").alias("cluster")), rounds=round(SMOOTHING * root))
+    return graph.smoothed_labels(links, points.select("pid", F.col("patch").alias("cluster")), round(SMOOTHING * root), regions(points, graph.parts_of(n * k)))

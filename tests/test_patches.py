@@ -135,3 +135,40 @@ def test_refinement_without_points_or_nodes(spark):
     edges = graph.lattice_edges(lattice)
     assert {tuple(r) for r in refine.refined_often(lattice, none, edges, 1).collect()} == {(0, 0.0, 0.0, 0.0), (1, 0.0, 0.0, 0.0)}
     assert refine.refined_often(lattice.where("node < 0"), none, edges.where("src < 0"), 2).count() == 0
+
+
+def test_smoothing_keeps_the_graph_in_its_parts(spark):
+    rng = np.random.default_rng(8)
+    n, label = 50, rng.integers(0, 4, 50)
+    pairs = [(i, int(j)) for i in range(n) for j in rng.choice(n, 3, replace=False) if i != j]
+    edges = spark.createDataFrame([(i, j, 1.0) for i, j in pairs] + [(70, 1, 2.0), (2, 80, 1.0)], "src long, dst long, w double")
+    labels = spark.createDataFrame([(i, None if c == 3 else int(c)) for i, c in enumerate(label)], "pid long, cluster int")
+    walk = np.zeros((52, 52))  # 70 and 80 come last; neither has a label
+    for i, j in pairs:
+        walk[i, j] += 1
+    walk[50, 1], walk[2, 51] = 2, 1
+    walk[range(n), range(n)] += 1
+    walk[:51] /= walk[:51].sum(1, keepdims=True)
+    soft = np.zeros((52, 4))
+    soft[range(n), label] = 1
+    for _ in range(5):
+        soft = walk @ soft
+        soft /= np.maximum(np.sqrt((soft * soft).sum(1, keepdims=True)), 1e-300)
+    want = {(70 if i == 50 else i): int(np.round(soft[i], 9).argmax()) for i in range(51)}
+    for parts in (None, spark.createDataFrame([(i, i % 3) for i in range(n)], "pid long, part int")):
+        got = {r["pid"]: 3 if r["cluster"] is None else r["cluster"] for r in graph.smoothed_labels(edges, labels, 5, parts, every=2).collect()}
+        assert got == want
+
+
+def test_smoothing_deals_the_graph_once(spark, monkeypatch):
+    tables = []
+    keep = graph.saved
+    monkeypatch.setattr(graph, "saved", lambda df: tables.append(df.columns) or keep(df))
+    edges = spark.createDataFrame([(i, (i + 1) % 9, 1.0) for i in range(9)], "src long, dst long, w double")
+    labels = spark.createDataFrame([(i, i // 3) for i in range(9)], "pid long, cluster int")
+    for rounds in (8, 16):
+        tables.clear()
+        out = graph.smoothed_labels(edges, labels, rounds)
+        assert out.count() == 9
+        rows = [t for t in tables if "m" in t]
+        assert len(rows) == 1 + rounds // 8 and all(t == ["pid", "sends", "c", "m"] or t[0] == "pid" for t in rows)
