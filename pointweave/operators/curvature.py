@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from pointweave.operators.knn import knn
 from pointweave.sources.scratch import saved
 
+#: Coordinates of the neighbourhoods that are fitted at a time; a fit takes some ten times as much memory.
+VALUES = 1 << 16
+
 
 def mean_curvature(offsets: np.ndarray) -> np.ndarray:
     """Curvatures of n neighbourhoods (n x k x 3)."""
@@ -49,8 +52,10 @@ def curvature(points: DataFrame, k: int) -> DataFrame:
             starts = np.cumsum(sizes) - sizes
             out = np.zeros(len(batch))
             for n in np.unique(sizes):
-                mine = np.flatnonzero(sizes == n)
-                out[mine] = mean_curvature(values[starts[mine][:, None] + np.arange(n)].reshape(len(mine), -1, 3))
+                same = np.flatnonzero(sizes == n)
+                step = max(1, VALUES // max(1, n))
+                for mine in (same[i : i + step] for i in range(0, len(same), step)):
+                    out[mine] = mean_curvature(values[starts[mine][:, None] + np.arange(n)].reshape(len(mine), -1, 3))
             yield pa.RecordBatch.from_arrays([batch.column("pid"), pa.array(out)], ["pid", "curvature"])
 
     return flat.mapInArrow(run, "pid long, curvature double")

@@ -172,3 +172,15 @@ def test_smoothing_deals_the_graph_once(spark, monkeypatch):
         assert out.count() == 9
         rows = [t for t in tables if "m" in t]
         assert len(rows) == 1 + rounds // 8 and all(t == ["pid", "sends", "c", "m"] or t[0] == "pid" for t in rows)
+
+
+def test_curvature_fits_few_neighbourhoods_at_a_time(spark, monkeypatch):
+    def fit(offsets):
+        if offsets.size > 100:
+            raise ValueError(f"{offsets.size} values at once")
+        return np.full(len(offsets), float(len(offsets)))
+
+    monkeypatch.setattr(curvature, "VALUES", 100, raising=False)
+    monkeypatch.setattr(curvature, "mean_curvature", fit)
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(RNG.normal(size=(60, 3)))], "pid long, x double, y double, z double")
+    assert curvature.curvature(df, 9).count() == 60
