@@ -11,7 +11,7 @@ from pointweave.jobs.queries import _GREEDY, _NEAR, QUERIES, SQL, cloud, folded,
 from pointweave.jobs.reports import codec_logs
 from pointweave.operators import curvature as curves
 from pointweave.operators import gradient, graph, mapping, rd, ward
-from pointweave.operators.knn import knn
+from pointweave.operators.knn import knn, regions
 from pointweave.sources import images, logs, manifest, ply_binary, reports
 from pointweave.sources.scratch import folder, saved
 
@@ -149,13 +149,16 @@ def features(spark, d) -> DataFrame:
     return saved(rows.select("pid", *"xyz", (F.col("curvature") * F.col("scale") * BEND).alias("bend"), "curvature"))
 
 
+#: The coordinates by which patches are cut.
+FEATURES = ("x", "y", "z", "bend")
+
+
 def cut(points: DataFrame, patches: int) -> tuple[DataFrame, DataFrame]:
     """(pid, cluster) by Ward's clustering of four coordinates along the graph of nearest neighbours, and that graph."""
-    axes = ("x", "y", "z", "bend")
     k = max(1, round(GRAPH_K * points.count() ** (1 / 3)))
-    near = knn(points, points, k, ("pid", "pid"), itself=False, axes=axes)
+    near = knn(points, points, k, ("pid", "pid"), itself=False, axes=FEATURES)
     links = saved(near.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1.0).alias("w")))
-    return saved(ward.ward(points, links, patches, axes)), links
+    return saved(ward.ward(points, links, patches, FEATURES)), links
 
 
 #: Patches of the sample cloud.
@@ -196,7 +199,8 @@ def patch_cut(spark, d):
     the patches and of the curvature, and read again."""
     points = features(spark, d)
     label, links = cut(points, PATCHES)
-    smooth = graph.smoothed_labels(links, label, rounds=round(SMOOTHING * points.count() ** (1 / 3)))
+    parts = regions(points, graph.parts_of(links.count()), axes=FEATURES)
+    smooth = graph.smoothed_labels(links, label, round(SMOOTHING * points.count() ** (1 / 3)), parts)
     rows = points.join(smooth, "pid").withColumnRenamed("cluster", "patch")
     colours = [c.alias(n) for n, c in zip(("red", "green", "blue"), palette.labels(F.col("patch"), PATCHES))]
     heat = [c.alias(f"{n}_bend") for n, c in zip(("red", "green", "blue"), palette.ramp(F.col("curvature"), palette.HEAT))]
