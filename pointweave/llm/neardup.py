@@ -12,8 +12,9 @@ that with the most bucket mates, as the middle of a group has. Say x is not link
 in at most D = (100 - PERCENT) / (100 + PERCENT) of the sum of their sizes, so x differs from B in dx > D (|x| + |B|)
 shingles. A class y that is linked to x has more than (dy + D (|B| - |y|)) / 2 of its dy differences from B in common with
 x; this is more than 0, and if y is not linked to B either, the same holds for x. So x and y have an equal one among the
-rarest differences of each, of those that others have too: all but one less than they must have in common. Where a bucket
-still holds different groups, the classes with such a difference in common form the next level's buckets, in which the same
+rarest differences of each, of those that others have too: all but one less than they must have in common. Of the rarest one
+that both have, at most those that come behind it in the order of both can be in common too; a pair is no candidate where
+that is less than its own two sets must have in common, (dx + dy - D (|x| + |y|)) / 2. Where a bucket still holds different groups, the classes with such a difference in common form the next level's buckets, in which the same
 is done again: one kind for classes that are not linked to B, one for these and those that are. As soon as the large buckets
 have MOST classes or less and no more than REST bucket mates for each class of the corpus, or their mates no longer get
 fewer, all their pairs meet. A group costs about its size, not its square, and no link is lost. Pairs whose set sizes rule
@@ -134,8 +135,8 @@ def bands(classes: DataFrame) -> DataFrame:
 def with_texts(pairs: DataFrame, members: DataFrame, *more: str) -> DataFrame:
     """Pairs (a, b), and columns `more` of theirs, with the texts of both; members has id and text. A lead stands in many pairs as a: the last join deals
     by b, so that its pairs are spread."""
-    first = members.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    second = members.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    first = key_filter(members, "id", pairs.select("a")).select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    second = key_filter(members, "id", pairs.select("b")).select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(first, "a").join(second, "b").select("a", "b", "text_a", "text_b", *more)
 
 
@@ -166,9 +167,10 @@ def compared(pairs: DataFrame, members: DataFrame, shingle: int, percent: int) -
 
 
 def differences(pairs: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(bucket, lead, id, linked, other, needed, least): the differences of each class b from its lead a in (a, b, other).
+    """(bucket, lead, id, linked, other, needed, least, far): the differences of each class b from its lead a in (a, b, other).
     `needed`: how many of them another class has in common with b, if a link of both is still to be found; `least`: how
-    many, if b is not linked to a and that class is."""
+    many, if b is not linked to a and that class is. `far`: two linked classes have at least the half of the sum of theirs in
+    common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near, far = 100 - percent, 100 + percent
@@ -179,36 +181,35 @@ def differences(pairs: DataFrame, members: DataFrame, shingle: int, percent: int
                 d, both = len(own), len(x) + len(y)
                 needed = (far * d + near * (len(x) - len(y))) // (2 * far) + 1
                 keys.append(mix(own ^ mix(np.array([a], np.int64).view(U64))) & ~U64(1))
-                about.append((a, b, far * d <= near * both, other, needed, max(1, -((near * both - far * d) // (2 * far)))))
+                about.append((a, b, far * d <= near * both, other, needed, max(1, -((near * both - far * d) // (2 * far))), d - near * len(y) / far))
             long = [len(k) for k in keys]
             columns = [np.repeat(np.array(c), long) for c in zip(*about)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(c) for c in columns)], ["bucket", "lead", "id", "linked", "other", "needed", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *(pa.array(c) for c in columns)], ["bucket", "lead", "id", "linked", "other", "needed", "least", "far"])
 
-    return with_texts(pairs, members, "other").mapInArrow(run, "bucket long, lead long, id long, linked boolean, other boolean, needed long, least long")
+    return with_texts(pairs, members, "other").mapInArrow(run, "bucket long, lead long, id long, linked boolean, other boolean, needed long, least long, far double")
 
 
 def rarest(shared: DataFrame) -> DataFrame:
-    """(bucket, id, size) from differences(): of the m differences that a class has in common with one it may be linked to,
-    the m - needed + 1 rarest, as two linked classes have one of these in common. Even buckets hold classes that are not
-    linked to the lead; odd ones those that are and those of other groups that are not. A class's rows are as many as one
-    text's differences."""
+    """(bucket, id, size, behind, far) from differences(): of the m differences that a class has in common with one it may be
+    linked to, the m - needed + 1 rarest, as two linked classes have one of these in common; `behind`: how many of the m are
+    less rare. Even buckets hold classes that are not linked to the lead; odd ones those that are and those of other groups
+    that are not. A class's rows are as many as one text's differences."""
     here, own = Window.partitionBy("bucket"), Window.partitionBy("lead", "id")
     count = lambda c: F.count(F.when(c, 1)).over(here)
-    linked, far = F.col("linked"), F.col("other") & ~F.col("linked")
-    counted = shared.select("*", count(~linked).alias("u"), count(linked).alias("l"), count(far).alias("o"))
-    apart = ~linked & (F.col("u") > 1)
-    across = linked & (F.col("o") > 0) | far & (F.col("l") > 0)
-    counted = counted.select("*", apart.alias("apart"), across.alias("across")).where("apart or across")
-    order = lambda kind, often: F.row_number().over(own.orderBy(F.desc(kind), often, "bucket"))
-    total = lambda kind: F.count(F.when(F.col(kind), 1)).over(own)
-    first = counted.select("bucket", "id", (F.col("apart") & (order("apart", F.col("u")) <= total("apart") - F.col("needed") + 1)).alias("even"),
-                           (F.col("across") & (order("across", F.col("l") + F.col("o")) <= total("across") - F.when(linked, F.col("needed")).otherwise(F.col("least")) + 1)).alias("odd"), "linked")
-    even = F.when(F.col("even"), F.struct("bucket", F.lit(False).alias("linked"), F.lit(False).alias("odd")))
-    odd = F.when(F.col("odd"), F.struct((F.col("bucket") + 1).alias("bucket"), "linked", F.lit(True).alias("odd")))
-    near = stored(first.where("even or odd").select("id", F.explode(F.array_compact(F.array(even, odd))).alias("r")).select("id", "r.*"))
+    linked, apart = F.col("linked"), F.col("other") & ~F.col("linked")
+    counted = shared.select("*", count(~linked).alias("u"), count(linked).alias("l"), count(apart).alias("o"))
+    even = ~linked & (F.col("u") > 1)
+    odd = linked & (F.col("o") > 0) | apart & (F.col("l") > 0)
+    counted = counted.select("*", even.alias("even"), odd.alias("odd")).where("even or odd")
+    # How many of a kind's differences come behind this one.
+    behind = lambda kind, often: F.count(F.when(F.col(kind), 1)).over(own) - F.row_number().over(own.orderBy(F.desc(kind), often, "bucket"))
+    counted = counted.select("*", behind("even", F.col("u")).alias("even_behind"), behind("odd", F.col("l") + F.col("o")).alias("odd_behind"))
+    row = lambda kind, needed, bucket: F.when(F.col(kind) & (F.col(f"{kind}_behind") >= needed - 1), F.struct(bucket.alias("bucket"), (F.col(kind) & linked & F.lit(kind == "odd")).alias("linked"), F.lit(kind == "odd").alias("odd"), F.col(f"{kind}_behind").alias("behind")))
+    both = F.array_compact(F.array(row("even", F.col("needed"), F.col("bucket")), row("odd", F.when(linked, F.col("needed")).otherwise(F.col("least")), F.col("bucket") + 1)))
+    near = stored(counted.select("id", "far", F.explode(both).alias("r")).select("id", "far", "r.*"))
     sizes = near.groupBy("bucket", "odd").agg(F.count("*").alias("size"), F.min("linked").alias("low"), F.max("linked").alias("high"))
     sizes = stored(sizes.where("size > 1 and (not odd or low <> high)").select("bucket", "size"))
-    return near.join(sizes, "bucket").select("bucket", "id", "size")
+    return near.join(sizes, "bucket").select("bucket", "id", "size", "behind", "far")
 
 
 def forest(links: DataFrame) -> DataFrame:
@@ -274,7 +275,9 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     kinds = stored(by_set)
     classes = kinds.select("id", "n", "signature")
     rows = stored(sized(bands(classes)))
-    ids = rows.select("id").distinct()
+    ids = stored(rows.select("id").distinct())
+    # From here on only classes that share a bucket meet: their signatures and texts are parted from the others once.
+    classes = stored(key_filter(classes, "id", ids).join(ids, "id", "left_semi"))
     members = stored(key_filter(docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text"), "id", ids).join(ids, "id", "left_semi"))
     again = known.groupBy("doc_id", "high", "low").count().groupBy("doc_id").agg(F.count("*").alias("kinds")).where("kinds > 1").select("doc_id")
     tied = known.join(again, "doc_id", "left_semi").join(kinds.select("high", "low", "id"), ["high", "low"])
@@ -286,7 +289,7 @@ def grouped(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
         last = most <= MOST and meets <= REST * kinds.count() or before is not None and meets >= before
         # The first level's buckets are bands, which the differences are not measured by.
         before = None if tried is None else meets
-        new = crossed(grouped_rows((rows if last else rows.where(F.col("size") <= AT_ONCE)).select("bucket", "id"), groups))
+        new = crossed(grouped_rows((rows if last else rows.where(F.col("size") <= AT_ONCE)).drop("size"), groups))
         if not last:
             large = stored(led(large))
             new = new.unionByName(large.where("id <> lead").select("id", "lead"))
@@ -329,9 +332,14 @@ def led(rows: DataFrame) -> DataFrame:
 
 
 def crossed(named: DataFrame) -> DataFrame:
-    """(id, lead): pairs of a bucket that are in different groups."""
-    other = named.select("bucket", F.col("id").alias("lead"), F.col("group").alias("lead_group"))
-    return named.join(other, "bucket").where("group <> lead_group and id < lead").select("id", "lead").distinct()
+    """(id, lead): pairs of a bucket that are in different groups and, with the columns of rarest(), may have as many
+    differences in common as linked ones have."""
+    more = ["behind", "far"] if "far" in named.columns else []
+    other = named.select("bucket", F.col("id").alias("lead"), F.col("group").alias("lead_group"), *(F.col(c).alias(f"lead_{c}") for c in more))
+    pairs = named.join(other, "bucket").where("group <> lead_group and id < lead")
+    if more:  # far is rounded
+        pairs = pairs.where("2 * (1 + least(behind, lead_behind)) >= far + lead_far - 1e-6")
+    return pairs.select("id", "lead").distinct()
 
 
 def grouped_rows(rows: DataFrame, groups: DataFrame | None) -> DataFrame:

@@ -143,6 +143,16 @@ def test_near_dedup_of_a_large_group(spark, monkeypatch, at_once, task_links):
     assert {i: c for i, (c,) in got.items()} == want
 
 
+def test_pairs_with_too_few_common_differences_are_no_candidates(spark):
+    """1 and 2 have the difference 10 in common and at most five that come behind it, but a link of both needs seven."""
+    own = {1: range(20, 30, 2), 2: range(40, 50, 2), 3: range(20, 30, 2), 4: range(40, 50, 2)}
+    least = {1: 7.0, 2: 7.0, 3: 3.0, 4: 3.0}
+    shared = [(b, 0, i, False, True, 1, 1, least[i]) for i, s in own.items() for b in [*([10] if i < 3 else []), *s]]
+    near = neardup.rarest(spark.createDataFrame(shared, "bucket long, lead long, id long, linked boolean, other boolean, needed long, least long, far double"))
+    pairs = neardup.crossed(near.drop("size").withColumn("group", near["id"]))
+    assert {(r["id"], r["lead"]) for r in pairs.collect()} == {(1, 3), (2, 4)}
+
+
 def test_brown(docs):
     got = rows(brown.scored(docs), "n_tokens", "base_score", "score")
     assert got[1][0] == got[2][0] == got[3][0] == 1 and all(g[1] < 0 and g[2] < 0 for g in got.values())
