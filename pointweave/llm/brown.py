@@ -95,11 +95,14 @@ def neighbour_counts(train: DataFrame, ids: dict[bytes, int], size: int) -> np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, own = shared.value, Seen(shared.value)
         grid = np.zeros(size * size, np.int64)
-        for batch in batches:
+        end = len(known) + FORMS
+        for batch in chunks(batches):
+            seq = [end]
             for text in batch.column("text").to_pylist():
-                seq = own.symbols(tokens(text))
-                seq = np.array([len(known) + FORMS, *seq, len(known) + FORMS], np.int64)
-                np.add.at(grid, seq[:-1] * size + seq[1:], 1)
+                seq += own.symbols(tokens(text))
+                seq.append(end)
+            seq = np.array(seq, np.int64)
+            np.add.at(grid, seq[:-1] * size + seq[1:], 1)
         for at in range(size):
             row = grid[at * size : (at + 1) * size]
             if (seen := np.flatnonzero(row)).size:
@@ -251,7 +254,7 @@ def lexicon(train: DataFrame, top: list[tuple[bytes, int]], own: np.ndarray, bet
         for whole in batches:
             for at in range(0, len(whole), 2000):
                 batch = whole.slice(at, 2000)
-                c, k = best_classes(batch.column("word").to_pylist(), pa.array(batch.column("found").to_pylist(), pa.list_(pa.int64())), between, min(CLASSES, len(ids)))
+                c, k = best_classes(batch.column("word").to_pylist(), batch.column("found"), between, min(CLASSES, len(ids)))
                 yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(c), pa.array(k.astype(np.int32))], ["word", "c", "k"])
 
     return stored(core.unionByName(neighbour_classes(train, ids, own).mapInArrow(run, "word binary, c long, k int")))
@@ -269,22 +272,29 @@ def sequences(docs: DataFrame, words: DataFrame, kept: list[str]) -> DataFrame:
         return math.log10(c + 1), math.log10(c + SMOOTH), int(c > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, memory = shared.value, {}
+        common, memory, about = shared.value, {}, []
         for batch in chunks(batches):
-            rows = []
+            if len(memory) > 300_000:
+                memory, about = {}, []
+            flat, sizes = [], []
             for text in batch.column("text").to_pylist():
                 words = tokens(text)
-                if len(memory) > 300_000:
-                    memory.clear()
-                for w in set(words).difference(memory):
-                    memory[w] = (common[w][1], *known(common[w][0])) if w in common else (OPEN, 0.0, 0.0, 0)
-                got = [memory[w] for w in words]
-                seq = bytes([g[0] for g in got])
-                rows.append((len(words), sum(g[3] for g in got), sum(g[1] for g in got), sum(g[2] for g in got), seq, [w for w, k in zip(words, seq) if k == OPEN] if OPEN in seq else []))
+                flat += words
+                sizes.append(len(words))
+            for w in set(flat).difference(memory):
+                memory[w] = len(about)
+                about.append((common[w][1], *known(common[w][0])) if w in common else (OPEN, 0.0, 0.0, 0))
+            kind, base, emit, seen = np.array(about, float).reshape(-1, 4)[np.fromiter(map(memory.__getitem__, flat), np.int64, len(flat))].T
+            text = np.repeat(np.arange(len(sizes)), sizes)
+            total = lambda x: np.bincount(text, x, len(sizes))
+            rare = np.flatnonzero(kind == OPEN)
+            cut = lambda of: pa.array(np.searchsorted(of, np.arange(len(sizes) + 1)), pa.int32())
+            seq = pa.Array.from_buffers(pa.binary(), len(sizes), [None, cut(text).buffers()[1], pa.py_buffer(kind.astype(np.uint8).tobytes())])
+            sums = [pa.array(sizes, pa.int64()), pa.array(total(seen).astype(np.int64)), pa.array(total(base)), pa.array(total(emit)), seq]
             at = batch.schema.get_field_index("text")
             rest = [c for i, c in enumerate(batch.columns) if i != at]
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary())]
-            yield pa.RecordBatch.from_arrays([*rest, *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], [*kept, *SUMS, "_rare"])
+            open_ = pa.ListArray.from_arrays(cut(text[rare]), pa.array([flat[i] for i in rare], pa.binary()))
+            yield pa.RecordBatch.from_arrays([*rest, *sums, open_], [*kept, *SUMS, "_rare"])
 
     first = stored(here.mapInArrow(run, T.StructType(fields + T._parse_datatype_string(sums + ", _rare array<binary>").fields)).withColumn("_row", F.monotonically_increasing_id()))
     rare = first.select("_row", F.explode(F.array_distinct("_rare")).alias("word"))
@@ -293,9 +303,13 @@ def sequences(docs: DataFrame, words: DataFrame, kept: list[str]) -> DataFrame:
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for *sums, seq, rare, got in zip(*(batch.column(c).to_pylist() for c in (*SUMS, "_rare", "_got"))):
+            got = batch.column("_got")
+            ends = np.append(0, np.cumsum(got.value_lengths().fill_null(0).to_numpy()))
+            got = [got.flatten().field(c).to_pylist() for c in ("word", "c", "k")]
+            for i, (*sums, seq, rare) in enumerate(zip(*(batch.column(c).to_pylist() for c in (*SUMS, "_rare")))):
                 if rare:
-                    found = {g["word"]: (g["c"], g["k"]) for g in got or []}
+                    here = slice(ends[i], ends[i + 1])
+                    found = dict(zip(got[0][here], zip(got[1][here], got[2][here])))
                     whole = [found.get(w) or (0, CLASSES + form(w)) for w in rare]
                     more = [known(c) for c, _ in whole]
                     seq = np.frombuffer(seq, np.uint8).copy()

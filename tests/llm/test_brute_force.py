@@ -115,6 +115,21 @@ def test_brown_base_against_brute_force(docs):
         assert r["base_score"] == pytest.approx(base) and r["score"] < 0
 
 
+def test_brown_sums_of_odd_texts(spark, monkeypatch):
+    """Sums and classes of texts that are empty, null or all of words outside the broadcast ones, read in one batch."""
+    monkeypatch.setattr(brown, "FREQUENT", 2)
+    lists = [["a", "b", "a"], [], None, ["zz", "yy", "a"], ["new", "new"], [], ["b", "zz"]]
+    docs = spark.createDataFrame([(i, None if w is None else " ".join(w)) for i, w in enumerate(lists)], "doc_id long, text string").coalesce(1)
+    known = {"a": (9, 1), "b": (9, 2), "zz": (3, 3), "yy": (2, 4)}
+    words = spark.createDataFrame([(w.encode(), c, k) for w, (c, k) in known.items()], "word binary, c long, k int")
+    got = {r["doc_id"]: r for r in brown.sequences(docs, words, ["doc_id"]).collect()}
+    for i, ws in enumerate(lists):
+        counts = [known.get(w, (0, brown.CLASSES + brown.form(w.encode()))) for w in ws or []]
+        assert (got[i]["n_tokens"], got[i]["n_known"], bytes(got[i]["seq"])) == (len(counts), sum(c > 0 for c, _ in counts), bytes(k for _, k in counts))
+        assert got[i]["base"] == pytest.approx(sum(math.log10(c + 1) for c, _ in counts))
+        assert got[i]["emit"] == pytest.approx(sum(math.log10(c + brown.SMOOTH) for c, _ in counts))
+
+
 def test_leaks_against_all_windows(spark, docs):
     """Recall of the windows and of the fingerprint index: SQL weighs every item-sized window."""
     items = [(1, ITEM), (2, None), (3, ""), (4, "one"), (5, " ".join(TEXTS[6].split()[20:32])), (6, ITEM), (7, "a b c a b c a b c")]
