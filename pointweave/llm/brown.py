@@ -272,19 +272,20 @@ def sequences(docs: DataFrame, words: DataFrame, kept: list[str]) -> DataFrame:
         return math.log10(c + 1), math.log10(c + SMOOTH), int(c > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, memory, about = shared.value, {}, []
+        common, memory, about = shared.value, {}, np.zeros((0, 4))
         for batch in chunks(batches):
             if len(memory) > 300_000:
-                memory, about = {}, []
-            flat, sizes = [], []
+                memory, about = {}, np.zeros((0, 4))
+            flat, sizes, new = [], [], []
             for text in batch.column("text").to_pylist():
                 words = tokens(text)
                 flat += words
                 sizes.append(len(words))
             for w in set(flat).difference(memory):
-                memory[w] = len(about)
-                about.append((common[w][1], *known(common[w][0])) if w in common else (OPEN, 0.0, 0.0, 0))
-            kind, base, emit, seen = np.array(about, float).reshape(-1, 4)[np.fromiter(map(memory.__getitem__, flat), np.int64, len(flat))].T
+                memory[w] = len(memory)
+                new.append((common[w][1], *known(common[w][0])) if w in common else (OPEN, 0.0, 0.0, 0))
+            about = np.concatenate([about, np.array(new, float).reshape(-1, 4)])
+            kind, base, emit, seen = about[np.fromiter(map(memory.__getitem__, flat), np.int64, len(flat))].T
             text = np.repeat(np.arange(len(sizes)), sizes)
             total = lambda x: np.bincount(text, x, len(sizes))
             rare = np.flatnonzero(kind == OPEN)
