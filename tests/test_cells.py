@@ -143,3 +143,20 @@ def test_ward_of_graphs_in_parts(spark):
     assert clusters(spark, p[:3], [], 5) == [0, 1, 2]
     assert clusters(spark, p[:1], [], 1) == [0]
     assert ward.ward(frame(spark, p).withColumnRenamed("i", "pid").where("pid < 0"), spark.createDataFrame([], "src long, dst long"), 3).count() == 0
+
+
+@pytest.mark.parametrize("k, itself", [(1, True), (9, True), (4, False)])
+def test_middle_sized_clouds_are_searched_without_written_tables(spark, monkeypatch, k, itself):
+    from pointweave.operators import knn as neighbours
+
+    monkeypatch.setattr(neighbours, "saved", None)
+    rng = np.random.default_rng(12)
+    p = np.concatenate([np.round(rng.random((4200, 3)) * 12) / 4, np.full((40, 3), 1.0), [[90.0, 0, -0.0]]])
+    b = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)] + [(9000, 0.0, float("nan"), 0.0)], "i long, x double, y double, z double")
+    got = {(r["a"], r["rank"]): (r["b"], r["d2"]) for r in knn(b.where("i % 60 = 0 or i > 4235"), b, k, ("i", "i"), itself=itself).collect()}
+    want = {}
+    for i in [i for i in range(len(p)) if i % 60 == 0 or i > 4235]:
+        d2 = ((p[i] - p) ** 2).sum(1)
+        order = [j for j in np.lexsort((np.arange(len(p)), d2)) if itself or j != i][:k]
+        want |= {(i, r + 1): (j, d2[j]) for r, j in enumerate(order)}
+    assert got == want
