@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +48,19 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def coded(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of a batch as in tokens(), the place among them of each word of its texts, and where each text's
+    words begin and the last one's end."""
+    text = batch.column("text")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(text.cast(pa.string()).fill_null("")))
+    words = lists.flatten()
+    good = pc.greater(pc.binary_length(words), 0)  # none before a first or behind a last space
+    before = np.append(0, np.cumsum(good.to_numpy(zero_copy_only=False)))
+    cuts = before[np.append(0, np.cumsum(lists.value_lengths().to_numpy()))]
+    words = words.filter(good).dictionary_encode()
+    return words.dictionary.cast(pa.binary()), words.indices.to_numpy(), cuts
+
+
 def form(word: bytes) -> int:
     """The class of a word outside the clustered ones, by how it is written."""
     n = min(len(word), 20)
@@ -58,12 +72,12 @@ def word_counts(train: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                held.update(tokens(text))
-                if len(held) > HELD:
-                    yield out(held)
-                    held.clear()
+        for batch in chunks(batches):
+            kinds, code, _ = coded(batch)
+            held.update(dict(zip(kinds.to_pylist(), np.bincount(code, minlength=len(kinds)).tolist())))
+            if len(held) > HELD:
+                yield out(held)
+                held.clear()
         yield out(held)
 
     def out(held: Counter) -> pa.RecordBatch:
@@ -97,11 +111,8 @@ def neighbour_counts(train: DataFrame, ids: dict[bytes, int], size: int) -> np.n
         grid = np.zeros(size * size, np.int64)
         end = len(known) + FORMS
         for batch in chunks(batches):
-            seq = [end]
-            for text in batch.column("text").to_pylist():
-                seq += own.symbols(tokens(text))
-                seq.append(end)
-            seq = np.array(seq, np.int64)
+            kinds, code, cuts = coded(batch)
+            seq = np.insert(np.array(own.symbols(kinds.to_pylist()), np.int64)[code], cuts, end)
             np.add.at(grid, seq[:-1] * size + seq[1:], 1)
         for at in range(size):
             row = grid[at * size : (at + 1) * size]
@@ -196,16 +207,14 @@ def neighbour_classes(train: DataFrame, ids: dict[bytes, int], own: np.ndarray)
         core, end = len(ids), len(ids)
         memory, kinds, names, held, n = dict(ids), [*own[:core], CLASSES + FORMS], [], [], 0
         for batch in chunks(batches):
-            seq = [end]
-            for text in batch.column("text").to_pylist():
-                words = tokens(text)
-                for w in set(words).difference(memory):
+            words, code, cuts = coded(batch)
+            words = words.to_pylist()
+            for w in words:
+                if w not in memory:
                     memory[w] = len(kinds)
                     kinds.append(CLASSES + form(w))
                     names.append(w)
-                seq += [memory[w] for w in words]
-                seq.append(end)
-            at = np.array(seq, np.int64)
+            at = np.insert(np.array([memory[w] for w in words], np.int64)[code], cuts, end)
             kind = np.array(kinds, np.int64)[at]
             here = np.flatnonzero(at > end)
             held.append(np.concatenate([at[here] * 2 * TOTAL + kind[here - 1], at[here] * 2 * TOTAL + TOTAL + kind[here + 1]]))
@@ -276,16 +285,15 @@ def sequences(docs: DataFrame, words: DataFrame, kept: list[str]) -> DataFrame:
         for batch in chunks(batches):
             if len(memory) > 300_000:
                 memory, about = {}, np.zeros((0, 4))
-            flat, sizes, new = [], [], []
-            for text in batch.column("text").to_pylist():
-                words = tokens(text)
-                flat += words
-                sizes.append(len(words))
-            for w in set(flat).difference(memory):
-                memory[w] = len(memory)
-                new.append((common[w][1], *known(common[w][0])) if w in common else (OPEN, 0.0, 0.0, 0))
+            words, code, cuts = coded(batch)
+            names, new, sizes = words.to_pylist(), [], np.diff(cuts)
+            for w in names:
+                if w not in memory:
+                    memory[w] = len(memory)
+                    new.append((common[w][1], *known(common[w][0])) if w in common else (OPEN, 0.0, 0.0, 0))
             about = np.concatenate([about, np.array(new, float).reshape(-1, 4)])
-            kind, base, emit, seen = about[np.fromiter(map(memory.__getitem__, flat), np.int64, len(flat))].T
+            here = about[np.array([memory[w] for w in names], np.int64)]
+            kind, base, emit, seen = (np.ascontiguousarray(column)[code] for column in here.T)
             text = np.repeat(np.arange(len(sizes)), sizes)
             total = lambda x: np.bincount(text, x, len(sizes))
             rare = np.flatnonzero(kind == OPEN)
@@ -294,7 +302,7 @@ def sequences(docs: DataFrame, words: DataFrame, kept: list[str]) -> DataFrame:
             sums = [pa.array(sizes, pa.int64()), pa.array(total(seen).astype(np.int64)), pa.array(total(base)), pa.array(total(emit)), seq]
             at = batch.schema.get_field_index("text")
             rest = [c for i, c in enumerate(batch.columns) if i != at]
-            open_ = pa.ListArray.from_arrays(cut(text[rare]), pa.array([flat[i] for i in rare], pa.binary()))
+            open_ = pa.ListArray.from_arrays(cut(text[rare]), words.take(pa.array(code[rare])))
             yield pa.RecordBatch.from_arrays([*rest, *sums, open_], [*kept, *SUMS, "_rare"])
 
     first = stored(here.mapInArrow(run, T.StructType(fields + T._parse_datatype_string(sums + ", _rare array<binary>").fields)).withColumn("_row", F.monotonically_increasing_id()))

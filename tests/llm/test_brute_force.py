@@ -246,3 +246,16 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, empty, str(tmp_path))
         assert out.count() == 0 and (name == "encoding" or out.columns == empty.columns)
+
+
+def test_words_of_a_batch_are_those_of_each_text():
+    import pyarrow as pa
+
+    from pointweave.llm import brown
+
+    for texts in ([None, "", " ", "  a B\x0bÀ\t\n", "\x1cx\x85y z w", "A\r\nA \x0ca", "x" * 9000, "é É"], [], [None]):
+        for rows in (pa.array(texts, pa.string()), pa.array(["skipped", *texts], pa.string()).slice(1)):
+            words, code, cuts = brown.coded(pa.record_batch([rows], ["text"]))
+            flat = [words[i].as_py() for i in code.tolist()]
+            assert [flat[i:j] for i, j in zip(cuts, cuts[1:])] == [brown.tokens(t) for t in texts]
+            assert len(set(words.to_pylist())) == len(words)
