@@ -8,7 +8,7 @@ log10 P(text) adds log10 P(class | class before) + log10 P(word | class) over th
 first word is that of the end. Transitions fall back on class frequencies with weight BACKOFF; emissions add SMOOTH to
 each count and keep one share for unseen words, so the probabilities of a class sum to one.
 
-Counts cover all training texts. Words of a text that are not among the FREQUENT broadcast ones meet their counts and
+Tasks find words by Arrow, never by a Python object for each. Counts cover all training texts. Words of a text that are not among the FREQUENT broadcast ones meet their counts and
 classes in a join, one row for each text and word. Null and empty texts are one end token. Repeated rows are counted as often as they
 stand. Texts without doc_id take part in training. Without training texts all counts are 0. Columns of the input with an
 output's name are replaced.
@@ -17,7 +17,6 @@ output's name are replaced.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +34,8 @@ FORMS, SMOOTH, BACKOFF = 16, 0.5, 50.0
 TOTAL, END = CLASSES + FORMS + 1, bytes([CLASSES + FORMS])
 #: Least count of a word that its neighbours give a class; the mark of a word whose class is not known yet; sums of a text.
 LEAST, OPEN, SUMS = 2, 255, ["n_tokens", "n_known", "base", "emit", "seq"]
-#: A task passes its word counts on when it holds so many.
-HELD = 400_000
+#: A task passes its word counts on when it holds so many; counts up to which a step of likelihood is looked up.
+HELD, SMALL = 400_000, 16
 
 
 def held_out(c: str = "doc_id") -> Column:
@@ -67,27 +66,53 @@ def form(word: bytes) -> int:
     return (not word.isascii()) * 8 + (not word[-1:].isalpha() and word[-1:] < b"\x80") * 4 + (0 if n <= 4 else 1 if n <= 7 else 2 if n <= 11 else 3)
 
 
+def forms(words: pa.Array) -> np.ndarray:
+    """form() of each word."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    last = data[ends[1:] - 1]
+    letter = (last | 32) - 97 < 26  # unsigned
+    wide = np.maximum.reduceat(data[: ends[-1]], ends[:-1]) > 127
+    return wide * 8 + (~letter & (last < 128)) * 4 + np.searchsorted([4, 7, 11], np.diff(ends))
+
+
+def placed(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """The place of each word in another array, -1 if it is not there."""
+    return pc.index_in(words, value_set=among).fill_null(-1).to_numpy()
+
+
+def log10_of(counts: np.ndarray, more: float) -> np.ndarray:
+    kinds, back = np.unique(counts, return_inverse=True)
+    return np.array([math.log10(c + more) for c in kinds.tolist()])[back]
+
+
 def word_counts(train: DataFrame) -> DataFrame:
     """(word, c): counted within tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held, n = [], 0
         for batch in chunks(batches):
             kinds, code, _ = coded(batch)
-            held.update(dict(zip(kinds.to_pylist(), np.bincount(code, minlength=len(kinds)).tolist())))
-            if len(held) > HELD:
-                yield out(held)
-                held.clear()
-        yield out(held)
-
-    def out(held: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["word", "c"])
+            held.append(pa.table({"word": kinds, "c": np.bincount(code, minlength=len(kinds))}))
+            n += len(kinds)
+            if n > 2 * HELD:
+                held = [summed(held)]
+                if (n := len(held[0])) > HELD:
+                    yield from held[0].to_batches()
+                    held, n = [], 0
+        if n:
+            yield from summed(held).to_batches()
+
+    def summed(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).select(["word", "c_sum"]).rename_columns(["word", "c"])
 
     return train.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def most_frequent(counts: DataFrame, most: int, *more: str) -> list[tuple]:
-    """The most frequent words: all with a count of at least the least one that leaves no more than `most`."""
+def most_frequent(counts: DataFrame, most: int) -> pa.Table:
+    """Rows of the most frequent words: all with a count of at least the least one that leaves no more than `most`."""
     level = F.floor(F.log2("c") * 32).cast("int")  # at most 64 * 32 levels
     levels = sorted(((r["level"], r["count"]) for r in counts.groupBy(level.alias("level")).count().collect()), reverse=True)
     n, least = 0, None
@@ -95,24 +120,20 @@ def most_frequent(counts: DataFrame, most: int, *more: str) -> list[tuple]:
         if n + count > most:
             break
         n, least = n + count, value
-    if least is None:
-        return []
-    rows = counts.where(level >= least).collect()
-    return sorted(((bytes(r["word"]), r["c"], *(r[m] for m in more)) for r in rows), key=lambda x: (-x[1], x[0]))
+    return counts.where(level >= least if least is not None else F.lit(False)).toArrow()
 
 
-def neighbour_counts(train: DataFrame, ids: dict[bytes, int], size: int) -> np.ndarray:
+def neighbour_counts(train: DataFrame, core: list[bytes], size: int) -> np.ndarray:
     """How often each of `size` symbols (clustered words, forms, the end) follows each other one; size has a bound."""
-    spark = session(train)
-    shared = spark.sparkContext.broadcast(ids)
+    shared = session(train).sparkContext.broadcast(pa.array(core, pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own = shared.value, Seen(shared.value)
+        core = shared.value
         grid = np.zeros(size * size, np.int64)
-        end = len(known) + FORMS
         for batch in chunks(batches):
-            kinds, code, cuts = coded(batch)
-            seq = np.insert(np.array(own.symbols(kinds.to_pylist()), np.int64)[code], cuts, end)
+            words, code, cuts = coded(batch)
+            place = placed(words, core)
+            seq = np.insert(np.where(place < 0, len(core) + forms(words), place)[code], cuts, len(core) + FORMS)
             np.add.at(grid, seq[:-1] * size + seq[1:], 1)
         for at in range(size):
             row = grid[at * size : (at + 1) * size]
@@ -128,22 +149,6 @@ def neighbour_counts(train: DataFrame, ids: dict[bytes, int], size: int) -> np.n
     return grid
 
 
-class Seen:
-    """Symbols of words, remembered for a task."""
-
-    def __init__(self, known: dict[bytes, int]):
-        self.memory, self.known = dict(known), known
-
-    def symbols(self, words: list[bytes]) -> list[int]:
-        memory = self.memory
-        if len(memory) > 300_000:
-            memory = self.memory = dict(self.known)
-        new = set(words).difference(memory)
-        for w in new:
-            memory[w] = len(self.known) + form(w)
-        return [memory[w] for w in words]
-
-
 def exchanged(grid: np.ndarray, movable: int, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
     """The class of each symbol. The first `movable` ones start in turn and move to the class of the best class-bigram
     likelihood, sum n(C, D) log n(C, D) - 2 sum n(C) log n(C); each other symbol keeps a class of its own."""
@@ -197,102 +202,117 @@ def exchanged(grid: np.ndarray, movable: int, classes: int = CLASSES, rounds: in
     return own
 
 
-def neighbour_classes(train: DataFrame, ids: dict[bytes, int], own: np.ndarray) -> DataFrame:
+def neighbour_classes(train: DataFrame, core: list[bytes], own: np.ndarray) -> DataFrame:
     """(word, found): for each word outside the clustered ones, how often (n) each class stands before it (code: the
     class) and after it (TOTAL + the class), as n * 2 * TOTAL + code. Tasks count first; a code may stand several times."""
-    shared = session(train).sparkContext.broadcast((ids, own.tolist()))
+    shared = session(train).sparkContext.broadcast((pa.array(core, pa.binary()), own[: len(core)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, own = shared.value
-        core, end = len(ids), len(ids)
-        memory, kinds, names, held, n = dict(ids), [*own[:core], CLASSES + FORMS], [], [], 0
+        core, own = shared.value
+        names, held, n, size = [], [], 0, 0
         for batch in chunks(batches):
             words, code, cuts = coded(batch)
-            words = words.to_pylist()
-            for w in words:
-                if w not in memory:
-                    memory[w] = len(kinds)
-                    kinds.append(CLASSES + form(w))
-                    names.append(w)
-            at = np.insert(np.array([memory[w] for w in words], np.int64)[code], cuts, end)
-            kind = np.array(kinds, np.int64)[at]
-            here = np.flatnonzero(at > end)
-            held.append(np.concatenate([at[here] * 2 * TOTAL + kind[here - 1], at[here] * 2 * TOTAL + TOTAL + kind[here + 1]]))
-            n += 2 * len(here)
-            if n > 10 * HELD or len(names) > HELD:
-                yield out(np.concatenate(held), names, end)
-                memory, kinds, names, held, n = dict(ids), [*own[:core], CLASSES + FORMS], [], [], 0
-        if held:
-            yield out(np.concatenate(held), names, end)
-
-    def out(keys: np.ndarray, names: list[bytes], end: int) -> pa.RecordBatch:
-        keys, n = np.unique(keys, return_counts=True)
-        word, code = keys // (2 * TOTAL), keys % (2 * TOTAL)
-        cuts = np.searchsorted(word, end + 1 + np.arange(len(names) + 1))
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(n * 2 * TOTAL + code))], ["word", "part"])
+            place = placed(words, core)
+            open_ = np.append(place < 0, False)  # the end is the last
+            kind = np.append(np.where(place < 0, CLASSES + forms(words), own[place]), CLASSES + FORMS).astype(np.uint8)
+            at = np.insert(code, cuts, len(words))
+            here = np.flatnonzero(open_[at])
+            name = (size - 1 + np.cumsum(open_)).astype(np.int32)[at[here]]
+            held += [(name, kind[at[here - 1]]), (name, kind[at[here + 1]] + np.uint8(TOTAL))]
+            names.append(words.filter(pa.array(place < 0)))
+            n, size = n + 2 * len(here), size + len(names[-1])
+            if n > 10 * HELD or size > 2 * HELD:
+                yield out(names, held)
+                names, held, n, size = [], [], 0, 0
+        if n:
+            yield out(names, held)
+
+    def out(names: list[pa.Array], held: list[tuple]) -> pa.RecordBatch:
+        words = pa.concat_arrays(names).dictionary_encode()
+        number = words.indices.to_numpy().astype(np.int64) * 2 * TOTAL
+        keys, n = np.unique(np.concatenate([number[name] + code for name, code in held]), return_counts=True)
+        word, code = np.divmod(keys, 2 * TOTAL)
+        cuts = np.searchsorted(word, np.arange(len(words.dictionary) + 1))
+        return pa.RecordBatch.from_arrays([words.dictionary, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(n * 2 * TOTAL + code))], ["word", "part"])
 
     parts = train.select("text").mapInArrow(run, "word binary, part array<long>")
     return parts.groupBy("word").agg(F.flatten(F.collect_list("part")).alias("found"))
 
 
-def best_classes(words: list[bytes], found: pa.ListArray, between: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Count and class of each word: from a count of LEAST on, the class that raises the likelihood of the class bigrams
-    most (as in exchanged()), else that of its form."""
-    f = lambda x: x * np.log(np.maximum(x, 1e-300))
-    flat, sizes = found.flatten().to_numpy(), np.diff(found.offsets.to_numpy())
-    keys, back = np.unique(np.repeat(np.arange(len(words)), sizes) * 2 * TOTAL + flat % (2 * TOTAL), return_inverse=True)
-    n = np.bincount(back, flat // (2 * TOTAL))
-    word, code = keys // (2 * TOTAL), keys % (2 * TOTAL)
-    count = np.bincount(word, n * (code < TOTAL), len(words))
-    cells = np.concatenate([between[:, :classes], between[:classes].T])[code]
-    gain = np.add.reduceat(f(cells + n[:, None]) - f(cells), np.searchsorted(word, np.arange(len(words))))
-    for total in (between.sum(1)[:classes], between.sum(0)[:classes]):
-        gain -= f(total + count[:, None]) - f(total)
-    forms = np.array([CLASSES + form(w) for w in words])
-    return count.astype(np.int64), np.where(count >= LEAST, gain.argmax(1), forms)
+class Gains:
+    """What classes gain in likelihood by a word, from the class bigrams without it."""
+
+    def __init__(self, between: np.ndarray, classes: int):
+        #: of each code of neighbour_classes(): its bigrams with each class
+        self.cells = np.concatenate([between[:, :classes], between[:classes].T])
+        self.totals = between.sum(1)[:classes], between.sum(0)[:classes]
+        self.steps = np.stack([self.step(self.cells, n) for n in range(SMALL)])
+
+    @staticmethod
+    def step(x: np.ndarray, n) -> np.ndarray:
+        f = lambda x: x * np.log(np.maximum(x, 1e-300))
+        return f(x + n) - f(x)
+
+    def best(self, words: pa.Array, found: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """Count and class of each word: from a count of LEAST on, the class that raises the likelihood of the class bigrams
+        most (as in exchanged()), else that of its form."""
+        flat, sizes = found.flatten().to_numpy(), np.diff(found.offsets.to_numpy())
+        word = np.repeat(np.arange(len(words)), sizes)
+        n, code = np.divmod(flat, 2 * TOTAL)
+        count = np.bincount(word, n * (code < TOTAL), len(words)).astype(np.int64)
+        kind, often = CLASSES + forms(words), np.flatnonzero(count >= LEAST)
+        if not len(often):
+            return count, kind
+        these = np.flatnonzero(count[word] >= LEAST)
+        keys, back = np.unique(word[these] * 2 * TOTAL + code[these], return_inverse=True)
+        n = np.bincount(back, n[these]).astype(np.int64)
+        word, code = np.divmod(keys, 2 * TOTAL)
+        steps = self.steps[np.minimum(n, SMALL - 1), code]
+        if len(large := np.flatnonzero(n >= SMALL)):
+            steps[large] = self.step(self.cells[code[large]], n[large, None])
+        gain = np.add.reduceat(steps, np.searchsorted(word, often))
+        counts, back = np.unique(count[often], return_inverse=True)
+        for total in self.totals:
+            gain -= self.step(total, counts[:, None])[back]
+        kind[often] = gain.argmax(1)
+        return count, kind
 
 
 def lexicon(train: DataFrame, top: list[tuple[bytes, int]], own: np.ndarray, between: np.ndarray) -> DataFrame:
     """(word, c, k): count and class of every training word."""
-    ids = {w: i for i, (w, _) in enumerate(top)}
     core = session(train).createDataFrame([(w, c, int(own[i])) for i, (w, c) in enumerate(top)], "word binary, c long, k int")
     if not top:
         return core
+    classes = min(CLASSES, len(top))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gains = Gains(between, classes)
         for whole in batches:
             for at in range(0, len(whole), 2000):
                 batch = whole.slice(at, 2000)
-                c, k = best_classes(batch.column("word").to_pylist(), batch.column("found"), between, min(CLASSES, len(ids)))
+                c, k = gains.best(batch.column("word"), batch.column("found"))
                 yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(c), pa.array(k.astype(np.int32))], ["word", "c", "k"])
 
-    return stored(core.unionByName(neighbour_classes(train, ids, own).mapInArrow(run, "word binary, c long, k int")))
+    return stored(core.unionByName(neighbour_classes(train, [w for w, _ in top], own).mapInArrow(run, "word binary, c long, k int")))
 
 
 def sequences(docs: DataFrame, words: DataFrame, kept: list[str]) -> DataFrame:
     """kept columns, n_tokens, n_known, base (sum of log10(count + 1)), emit (of log10(count + SMOOTH)), and `seq`, a byte
     for the class of each word. Words that are not among the broadcast ones meet their classes in a join."""
-    shared = session(docs).sparkContext.broadcast({w: (c, k) for w, c, k in most_frequent(words, FREQUENT, "k")})
+    top = most_frequent(words, FREQUENT).combine_chunks()
+    c = top["c"].to_numpy()
+    # a word that is not there has place -1
+    about = np.append(np.stack([top["k"].to_numpy(), log10_of(c, 1), log10_of(c, SMOOTH), c > 0], 1), [[OPEN, 0, 0, 0]], 0)
+    shared = session(docs).sparkContext.broadcast((pa.array(top["word"].to_pylist(), pa.binary()), about))
     here = docs.select(*(f"`{c}`" for c in kept), "text")
     fields = [f for f in here.schema.fields if f.name != "text"]
     sums = "n_tokens long, n_known long, base double, emit double, seq binary"
 
-    def known(c: int) -> tuple[float, float, int]:
-        return math.log10(c + 1), math.log10(c + SMOOTH), int(c > 0)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, memory, about = shared.value, {}, np.zeros((0, 4))
-        for batch in chunks(batches):
-            if len(memory) > 300_000:
-                memory, about = {}, np.zeros((0, 4))
+        common, about = shared.value
+        for batch in chunks(batches, most=1 << 22):
             words, code, cuts = coded(batch)
-            names, new, sizes = words.to_pylist(), [], np.diff(cuts)
-            for w in names:
-                if w not in memory:
-                    memory[w] = len(memory)
-                    new.append((common[w][1], *known(common[w][0])) if w in common else (OPEN, 0.0, 0.0, 0))
-            about = np.concatenate([about, np.array(new, float).reshape(-1, 4)])
-            here = about[np.array([memory[w] for w in names], np.int64)]
+            here, sizes = about[placed(words, common)], np.diff(cuts)
             kind, base, emit, seen = (np.ascontiguousarray(column)[code] for column in here.T)
             text = np.repeat(np.arange(len(sizes)), sizes)
             total = lambda x: np.bincount(text, x, len(sizes))
@@ -311,28 +331,36 @@ def sequences(docs: DataFrame, words: DataFrame, kept: list[str]) -> DataFrame:
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            got = batch.column("_got")
-            ends = np.append(0, np.cumsum(got.value_lengths().fill_null(0).to_numpy()))
-            got = [got.flatten().field(c).to_pylist() for c in ("word", "c", "k")]
-            for i, (*sums, seq, rare) in enumerate(zip(*(batch.column(c).to_pylist() for c in (*SUMS, "_rare")))):
-                if rare:
-                    here = slice(ends[i], ends[i + 1])
-                    found = dict(zip(got[0][here], zip(got[1][here], got[2][here])))
-                    whole = [found.get(w) or (0, CLASSES + form(w)) for w in rare]
-                    more = [known(c) for c, _ in whole]
-                    seq = np.frombuffer(seq, np.uint8).copy()
-                    seq[seq == OPEN] = [k for _, k in whole]
-                    seq = seq.tobytes()
-                    sums = [sums[0], sums[1] + sum(m[2] for m in more), sums[2] + sum(m[0] for m in more), sums[3] + sum(m[1] for m in more)]
-                rows.append((*sums, seq))
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
+            rare, got = batch.column("_rare"), batch.column("_got")
+            text, there = (np.repeat(np.arange(len(batch)), x.value_lengths().fill_null(0).to_numpy()) for x in (rare, got))
+            rare, got = rare.flatten(), got.flatten()
+            both = pa.concat_arrays([rare, got.field("word")]).dictionary_encode()
+            code, n = both.indices.to_numpy().astype(np.int64), len(both.dictionary)
+            keys = np.append(there * n + code[len(rare) :], -1)  # the last stands for words that no text of training has
+            order = np.argsort(keys)
+            want = text * n + code[: len(rare)]
+            at = order[np.searchsorted(keys[order], want, "right") - 1]
+            at[keys[at] != want] = len(got)
+            c = np.append(got.field("c").to_numpy(), 0)[at]
+            kind = np.where(at < len(got), np.append(got.field("k").to_numpy(), 0)[at], CLASSES + forms(rare))
+            data, ends = classes_of(batch.column("seq"))
+            data = data.copy()
+            data[data == OPEN] = kind
+            seq = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+            more = [np.bincount(text, x, len(batch)) for x in (c > 0, log10_of(c, 1), log10_of(c, SMOOTH))]
+            known, base, emit = (batch.column(name).to_numpy() + x for name, x in zip(SUMS[1:4], more))
+            columns = [batch.column("n_tokens"), pa.array(known.astype(np.int64)), pa.array(base), pa.array(emit), seq]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], [*kept, *SUMS])
 
     return stored(first.join(got, "_row", "left").mapInArrow(fill, T.StructType(fields + T._parse_datatype_string(sums).fields)))
 
 
+def classes_of(seq: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column end to end, and n + 1 offsets."""
+    ends = np.frombuffer(seq.buffers()[1], np.int32)[seq.offset : seq.offset + len(seq) + 1]
+    return np.frombuffer(seq.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
 def class_pairs(seqs: DataFrame) -> np.ndarray:
     """How often each class follows each other one; the end stands before and after a text."""
 
@@ -360,12 +388,11 @@ def scored(docs: DataFrame) -> DataFrame:
     totals = counts.agg(F.sum("c"), F.count("*")).first()
     n_all, n_kinds = (totals[0] or 0) + texts, totals[1] + (texts > 0)
     top = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc("c"), "word").limit(CLASS_WORDS).collect()]
-    ids = {w: i for i, (w, _) in enumerate(top)}
-    size = len(ids) + FORMS + 1
-    grid = neighbour_counts(train, ids, size)
-    own = exchanged(grid, len(ids))
+    size = len(top) + FORMS + 1
+    grid = neighbour_counts(train, [w for w, _ in top], size)
+    own = exchanged(grid, len(top))
     # exchanged() numbers the forms and the end behind the classes in use
-    own[len(ids) :] = CLASSES + np.arange(FORMS + 1)
+    own[len(top) :] = CLASSES + np.arange(FORMS + 1)
     onto = np.zeros((size, TOTAL))
     onto[np.arange(size), own] = 1
     words = lexicon(train, top, own, onto.T @ grid @ onto)
