@@ -31,7 +31,7 @@ MARK = "▁"
 #: The rank of a pair that is no piece, and the longest run whose agenda is a list.
 NEVER, SHORT = 1 << 60, 40
 #: Words, and runs of words, that a task remembers, twice over (a young and an old generation); the longest of them.
-REMEMBERED, LONGEST = 200_000, 48
+REMEMBERED, LONGEST = 100_000, 48
 #: Bytes of texts that are encoded at a time.
 SLICE = 1 << 20
 
@@ -146,7 +146,7 @@ class Pieces:
                 ids = old.get(run)
                 if ids is None:
                     ids, new = self.encode_run(run, pairs[a : b - 1]), True
-                if b - a <= LONGEST:
+                if b - a <= LONGEST and len(cuts) > 1:  # a run that is a whole word is remembered as such
                     young[run] = ids
             out.append(ids)
         return " ".join(out), new

@@ -47,6 +47,14 @@ def test_pieces_of_odd_texts(monkeypatch):
         assert p.encode_batch(batch) == [(" ".join(map(str, e)), p.library.decode(e)) for e in expected]
 
 
+def test_pieces_remember_a_word_once():
+    p = pieces.Pieces(piece_model())
+    words = [f"{a}{b}{c}" for a in ("lor", "dol", "sit", "con") for b in ("em", "um", "or", "is") for c in ("a", "en", "ing")]
+    text = " ".join(words)
+    assert p.encode_batch([text]) == [(" ".join(map(str, p.library.encode(text))), text)]
+    assert len(p.known.young) == len(words) and not p.runs.young
+
+
 def repeats(units, length, key):
     seen, out = set(), {}
     for i, t in TEXTS:
