@@ -131,8 +131,8 @@ def curvature_features(spark, d):
 
 @query()
 def refine_rounds(spark, d):
-    """Ten rounds of refinement; the operator has a hundred by default."""
-    out = refine.refined_often(folded(spark, d), original(spark, d), edges(spark, d), rounds=10)
+    """All of the operator's hundred rounds of refinement."""
+    out = refine.refined_often(folded(spark, d), original(spark, d), edges(spark, d))
     return out.select("node", *(r(c).alias(c) for c in "xyz"))
 
 

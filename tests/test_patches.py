@@ -129,6 +129,43 @@ def test_rounds_of_refinement_against_dense_matrices(spark, small, monkeypatch):
         assert got[i] == pytest.approx(nodes[i].tolist(), abs=1e-9)
 
 
+def test_registered_refinement_runs_all_rounds(spark, tmp_path):
+    from pointweave.jobs import patches, sweep
+
+    rng = np.random.default_rng(8)
+    v = rng.random((132, 6)).astype(np.float32)
+    rows = [(i, 0, x.tolist()) for i, x in enumerate(v)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    cloud, nodes = v[::2, :3].astype(float), v[1::2, :3].astype(float)
+    got = {r[0]: tuple(r)[1:] for r in patches.refine_rounds(spark, str(tmp_path)).collect()}
+    variants = {r["node"]: (r["x"], r["y"], r["z"]) for r in sweep.variants(spark, str(tmp_path))["refined"].collect()}
+    # the registered lattice keeps its last row, which is not full; that of the sweep does not
+    for lattice, n in ((got, 66), (variants, 64)):
+        links = np.array([[abs(i // 16 - j // 16) + abs(i % 16 - j % 16) == 1 for j in range(n)] for i in range(n)], float)
+        want = nodes[:n]
+        for _ in range(100):
+            want = refined_once(want, cloud, links)
+        assert len(lattice) == n
+        for i in range(n):
+            assert lattice[i] == pytest.approx(want[i].tolist(), abs=2e-6)
+
+
+def test_rounds_in_memory_are_those_over_cells_with_odd_coordinates(spark, monkeypatch):
+    monkeypatch.setattr(knn, "LEAST", 8)
+    rng = np.random.default_rng(16)
+    nodes = [[i, i // 5, i % 5, *map(float, x)] for i, x in enumerate(rng.random((30, 3)))]
+    nodes[7][3], nodes[20][4], nodes[11][3:] = None, None, nodes[12][3:]
+    cloud = [[i, *map(float, x)] for i, x in enumerate(rng.random((90, 3)))]
+    cloud[3][1], cloud[4][2], cloud[5][3], cloud[9][1:] = None, float("nan"), float("inf"), cloud[8][1:]
+    lattice = spark.createDataFrame(nodes, "node long, gi long, gj long, x double, y double, z double")
+    points = spark.createDataFrame(cloud, "pid long, x double, y double, z double")
+    edges = saved(graph.lattice_edges(lattice).unionByName(spark.createDataFrame([(3, 99, 1.0), (99, 4, 1.0), (0, None, 1.0)], "src long, dst long, w double")))
+    one, two = ({r[0]: tuple(r)[1:] for r in refine.refined_often(lattice, points, edges, 2, small=small).collect()} for small in (4096, 0))
+    assert len(one) == 30 and set(one) == set(two)
+    for i in one:
+        assert one[i] == pytest.approx(two[i], abs=1e-9)
+
+
 def test_refinement_without_points_or_nodes(spark):
     lattice = spark.createDataFrame([(0, 0, 0, 1.0, 2.0, 3.0), (1, 0, 1, 2.0, 2.0, 3.0)], "node long, gi long, gj long, x double, y double, z double")
     none = spark.createDataFrame([], "pid long, x double, y double, z double")
