@@ -235,7 +235,7 @@ def codec_folders(spark, d):
     size = (F.col("s_suppkey") % 50 + 1).cast("int").alias("p_size")
     rows = codec_logs(table(spark, d, "supplier").select(F.col("s_suppkey").alias("p_partkey"), size)).where("points > 0")
     tree = logs.to_folders(spark, rows, "p_partkey", ["encoder", "metric"])
-    read = logs.from_folders(spark, tree, r"/p_partkey=(\d+)/", {k: f"/kind={k}/" for k in ("encoder", "metric")})
+    read = logs.from_folders(spark, tree, r"/p_partkey=(-?\d+)/", {k: f"/kind={k}/" for k in ("encoder", "metric")})
     all_ = read.withColumn("p_partkey", F.col("folder").cast(rows.schema["p_partkey"].dataType)).join(rows.select("p_partkey", "points"), "p_partkey")
     rate = lambda c: r(F.col(f"{c}_bytes") * 8.0 / F.col("points"), 9).alias(f"{c}_bits_per_input_point")
     values = all_.select("p_partkey", *logs.encoder_values(F.col("encoder")), *logs.metric_values(F.col("metric")), "points")

@@ -138,6 +138,38 @@ def test_log_folders_hold_one_log_of_each_kind(spark, tmp_path):
         logs.from_folders(spark, str(tmp_path), kinds={"none": "nothing"})
 
 
+def test_log_trees_are_written_and_listed_by_a_few_tasks(spark, tmp_path, monkeypatch):
+    from pointweave.sources import logs
+
+    texts = [(i, f"one {i}\n", None if i == 5 else f"two é {i}") for i in range(-2, 300)]
+    df = spark.createDataFrame([*texts, texts[7]], "id long, one string, two string").coalesce(1)
+    started = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    path = logs.to_folders(spark, df, "id", ["one", "two"])
+    tracker = spark.sparkContext.statusTracker()
+    new = lambda old: [tracker.getStageInfo(s).numTasks for j in set(tracker.getJobIdsForGroup(None)) - set(old) if tracker.getJobInfo(j) for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s)]
+    assert max(new(started)) == logs.tasks(spark)  # one task wrote all of a small table
+    found = [os.path.join(d, f) for d, _, names in os.walk(path.removeprefix("file://")) for f in names]
+    assert len(found) == 2 * 302 - 1 and not [f for f in found if os.path.basename(f).startswith(".")]
+    started, before = tracker.getJobIdsForGroup(None), spark.conf.get(logs.LISTING)
+    files = logs.below(spark, path)
+    assert 0 < max(new(started)) <= logs.tasks(spark) and spark.conf.get(logs.LISTING) == before
+    assert files.count() == len(found)
+    kinds = {k: f"/kind={k}/" for k in ("one", "two")}
+    read = lambda: {int(r["folder"]): (r["one"], r["two"]) for r in logs.from_folders(spark, path, r"/id=(-?\d+)/", kinds).collect()}
+    with pytest.raises(Exception, match="two logs in 5: 0"):
+        read()
+    logs.put(os.path.join(path.removeprefix("file://"), "id=5", "kind=two"), b"x")
+    assert read() == {i: (a, "x" if i == 5 else b) for i, a, b in texts}
+    # a second row of a key with another text
+    path = logs.to_folders(spark, spark.createDataFrame([(1, "a", "b"), (1, "a", "c")], "id int, one string, two string"), "id", ["one", "two"])
+    with pytest.raises(Exception, match="two logs in 1: 2"):
+        read()
+    # where Spark writes
+    monkeypatch.setattr(logs, "MOUNTED", ())
+    path = logs.to_folders(spark, df.limit(3), "id", ["one", "two"])
+    assert read() == {i: (a + "\n", b + "\n") for i, a, b in texts[:3]}
+
+
 def test_a_second_run_makes_nothing_and_a_lost_output_alone_is_made_again(spark, tmp_path):
     import shutil
 
